@@ -324,7 +324,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "branches": (
         (),
         f"SELECT '/org/r' || {_s('c_custkey % 3')} AS repo, CAST(c_custkey % 3 AS INT) AS repo_ord, {_branch()} AS name, "
-        f"CAST({NOW} - (c_custkey * 3571) % 31536000 AS BIGINT) AS ts FROM {{customer}}",
+        f"CAST({NOW} - (c_custkey * 86413) % 31536000 AS BIGINT) AS ts FROM {{customer}}",
     ),
     "tips": ((), f"SELECT '/org/r' || {_s('o_orderkey % 3')} AS repo, {_HASH.format(_s('max(o_orderkey)'))} AS tip FROM {{orders}} GROUP BY o_orderkey % 3"),
     "tags": (
