@@ -100,47 +100,75 @@ def pagerank(
     edge: DataFrame,
     damping: float = 0.85,
     iterations: int = 100,
-    settle_every: int = 10,
+    settle_every: int = 5,
     broadcast_vertices: int = BROADCAST_VERTICES,
     hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
     """Scores after a fixed number of rounds from 1/n; the share of vertices without out-edges is lost.
 
-    Each round is one join of scores with edges and one sum per target (partially summed before its
-    shuffle). Up to ``broadcast_vertices`` (counted first) the scores are broadcast and edges stay in
-    place; beyond that both sides are partitioned by (source, salt), where a source gets one salt per
-    ``hub_edges`` out-edges, so a hub's edges spread over tasks. The scores are written to the shared
-    folder every ``settle_every`` rounds, which bounds both plan size and recomputation.
+    Only vertices with in-edges change after the first round; the others keep the base score, so their
+    contribution per target is one constant row. A round is then one join of scores with edges and one
+    sum per target (partially summed before its shuffle).
+
+    Up to ``broadcast_vertices`` (counted first) the scores are broadcast and edges stay in place.
+    Beyond that the edges are partitioned once by (source, salt) and kept; a source gets one salt per
+    ``hub_edges`` out-edges, so a hub's edges spread over tasks, and each round moves only scores and
+    partial sums. Scores are written to the shared folder every ``settle_every`` rounds, which bounds
+    plan size and recomputation; the kept edges can be rebuilt from their own written table.
     """
+    spark = vertex.sparkSession
     vertex = settle(vertex.select("id").distinct(), "rank-vertices")
     n = vertex.count()
-    if n == 0:
-        return vertex.select("id", F.lit(0.0).alias("score"))
+    base, start = (1.0 - damping) / max(n, 1), 1.0 / max(n, 1)
+    if n == 0 or iterations < 1:
+        return vertex.select("id", F.lit(start).alias("score"))
     small = n <= broadcast_vertices
     out_deg = edge.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
-    links = edge.join(out_deg, "src").select(
-        "src", "dst", "out_degree", F.ceil(F.col("out_degree") / hub_edges).cast("int").alias("salts")
-    ).withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
-    links = settle(links if small else links.repartition("src", "salt"), "rank-links")
-
-    base, start = (1.0 - damping) / n, 1.0 / n
-    scores = vertex.select("id", F.lit(start).alias("score"))
-    salts = links.groupBy("src").agg(F.max("salts").alias("salts"))
-    for step in range(1, iterations + 1):
+    salts = F.ceil(F.col("out_degree") / hub_edges).cast("int")
+    links = settle(
+        edge.join(out_deg, "src").select(
+            "src", "dst", "out_degree", salts.alias("salts"), F.pmod(F.xxhash64("dst"), salts).cast("int").alias("salt")
+        ),
+        "rank-links",
+    )
+    fed = links.select(F.col("dst").alias("src")).distinct()
+    constant = settle(
+        links.join(fed, "src", "left_anti")
+        .select("dst", (base / F.col("out_degree")).alias("part"))
+        .unionByName(links.select("dst", F.lit(0.0).alias("part")).distinct())
+        .groupBy("dst")
+        .agg(F.sum("part").alias("part")),
+        "rank-constant",
+    )
+    moving = links.join(fed, "src", "left_semi").select("src", "salt", "salts", "dst", "out_degree")
+    spread = None
+    if small:
+        moving = settle(moving, "rank-moving")
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        moving = moving.repartition(parts, "src", "salt").persist()
+        spread = settle(moving.groupBy("src").agg(F.max("salts").alias("salts")), "rank-salts")
+
+    def score(parts_in: DataFrame) -> DataFrame:
+        return parts_in.groupBy(F.col("dst").alias("src")).agg((F.lit(base) + damping * F.sum("part")).alias("score"))
+
+    scores = settle(score(links.select("dst", (start / F.col("out_degree")).alias("part"))), "rank-1")
+    for step in range(2, iterations + 1):
         if small:
-            src_scores = F.broadcast(scores.withColumnRenamed("id", "src"))
-            flow = links.join(src_scores, "src")
+            flow = moving.join(F.broadcast(scores), "src")
         else:
-            spread = scores.withColumnRenamed("id", "src").join(salts, "src")
-            spread = spread.select("src", "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-            flow = links.join(spread, ["src", "salt"])
-        received = flow.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("out_degree")).alias("got"))
-        scores = vertex.join(received, "id", "left").select(
-            "id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score")
-        )
+            salted = scores.join(spread, "src").select(
+                "src", "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+            )
+            flow = moving.join(salted, ["src", "salt"])
+        scores = score(flow.select("dst", (F.col("score") / F.col("out_degree")).alias("part")).unionByName(constant))
         if step % settle_every == 0 or step == iterations:
             scores = settle(scores, f"rank-{step}")
-    return scores
+    if not small:
+        moving.unpersist()
+    return vertex.join(scores.withColumnRenamed("src", "id"), "id", "left").select(
+        "id", F.coalesce("score", F.lit(base)).alias("score")
+    )
 
 
 def _rank_key():
