@@ -62,13 +62,11 @@ def running(
     if chunk_rows is None:
         whole = Window.partitionBy(*keys).orderBy(first, *tie)
         ends = {name: 0 if inclusive else -1 for name, (_, _, inclusive) in aggs.items()}
-        return df.select(
-            "*",
-            *[
-                _AGG[kind](expr).over(whole.rowsBetween(Window.unboundedPreceding, ends[name])).alias(name)
-                for name, (kind, expr, _) in aggs.items()
-            ],
-        )
+        columns = []
+        for name, (kind, expr, _) in aggs.items():
+            value = _AGG[kind](expr).over(whole.rowsBetween(Window.unboundedPreceding, ends[name]))
+            columns.append((F.coalesce(value, F.lit(0)) if kind == "sum" else value).alias(name))
+        return df.select("*", *columns)
     cid = "_chunk"
     chunk = F.floor(F.col(order) / chunk_rows).cast("bigint")
     work = df.withColumn(cid, -chunk if reverse else chunk)

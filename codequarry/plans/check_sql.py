@@ -353,9 +353,10 @@ CTES["node_pool"] = (
     "SELECT f.service, f.id, 1, e.start_line * 4, e.name FROM extents e JOIN files f USING (repo, path) WHERE e.line_count >= 25) b "
     "QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY slot, pos) = 1"
 )
+CTES["file_score"] = "SELECT id, in_degree + CASE WHEN ends_with(id, '.proto') THEN 5 ELSE 0 END AS points FROM degree"
 CTES["nodes"] = (
-    "SELECT service, file || '::' || name AS id, file, name, kind, greatest(in_degree / 10000.0, 0.001) AS score FROM node_pool p JOIN degree d ON d.id = p.file "
-    "QUALIFY row_number() OVER (PARTITION BY service ORDER BY in_degree DESC, string_split(file, '/'), slot, pos, name) <= 80"
+    "SELECT service, file || '::' || name AS id, file, name, kind, greatest(points / 10000.0, 0.001) AS score FROM node_pool p JOIN file_score d ON d.id = p.file "
+    "QUALIFY row_number() OVER (PARTITION BY service ORDER BY points DESC, string_split(file, '/'), slot, pos, name) <= 80"
 )
 CTES["node_refs"] = (
     "SELECT DISTINCT s.service, s.id AS src, g.id AS dst, s.kind AS src_kind, g.kind AS dst_kind, g.score AS dst_score FROM nodes s JOIN nodes g ON g.service = s.service AND g.file <> s.file AND g.name <> s.name AND strlen(g.name) > 4 "
