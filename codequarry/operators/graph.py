@@ -141,31 +141,35 @@ def pagerank(
         "rank-constant",
     )
     moving = links.join(fed, "src", "left_semi").select("src", "salt", "salts", "dst", "out_degree")
-    spread = None
     if small:
-        moving = settle(moving, "rank-moving")
+        # the constant rows ride along without a source: one kept table, one outer join per round
+        kept = (
+            moving.select("src", "dst", "out_degree", F.lit(0.0).alias("part"))
+            .unionByName(constant.select(F.lit(None).cast("string").alias("src"), "dst", F.lit(1).cast("bigint").alias("out_degree"), "part"))
+            .persist()
+        )
     else:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        moving = moving.repartition(parts, "src", "salt").persist()
-        spread = settle(moving.groupBy("src").agg(F.max("salts").alias("salts")), "rank-salts")
+        kept = moving.repartition(parts, "src", "salt").persist()
+        spread = settle(kept.groupBy("src").agg(F.max("salts").alias("salts")), "rank-salts")
 
     def score(parts_in: DataFrame) -> DataFrame:
         return parts_in.groupBy(F.col("dst").alias("src")).agg((F.lit(base) + damping * F.sum("part")).alias("score"))
 
+    share = F.col("score") / F.col("out_degree")
     scores = settle(score(links.select("dst", (start / F.col("out_degree")).alias("part"))), "rank-1")
     for step in range(2, iterations + 1):
         if small:
-            flow = moving.join(F.broadcast(scores), "src")
+            flow = kept.join(F.broadcast(scores), "src", "left").select("dst", F.coalesce(share, F.col("part")).alias("part"))
         else:
             salted = scores.join(spread, "src").select(
                 "src", "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
             )
-            flow = moving.join(salted, ["src", "salt"])
-        scores = score(flow.select("dst", (F.col("score") / F.col("out_degree")).alias("part")).unionByName(constant))
+            flow = kept.join(salted, ["src", "salt"]).select("dst", share.alias("part")).unionByName(constant)
+        scores = score(flow)
         if step % settle_every == 0 or step == iterations:
             scores = settle(scores, f"rank-{step}")
-    if not small:
-        moving.unpersist()
+    kept.unpersist()
     return vertex.join(scores.withColumnRenamed("src", "id"), "id", "left").select(
         "id", F.coalesce("score", F.lit(base)).alias("score")
     )

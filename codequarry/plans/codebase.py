@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text
 from codequarry.operators import branches as br
-from codequarry.operators import extract, graph, history, marts, services, technology
+from codequarry.operators import declgraph, extract, graph, history, marts, services, technology
 from codequarry.plans import standins
 from codequarry.sources import files as src
 from codequarry.sources import store
@@ -33,10 +33,14 @@ class Codebase:
     def view(self, name: str) -> DataFrame:
         """A stand-in view as a table: written once per session to the shared folder, then read like
         any ingested table, so its defining expressions stay out of the operators' plans."""
+        return self.stage(f"view-{name}", lambda: self._view(name))
+
+    def stage(self, name: str, build) -> DataFrame:
+        """The result of ``build`` as a table, written once per session: what several queries share."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _written:
-            df = self._view(name)
-            path = store.new_table_path(self.spark, f"view-{name}")
+            df = build()
+            path = store.new_table_path(self.spark, name)
             df.write.parquet(path)
             _written[key] = (path, df.schema)
         path, schema = _written[key]
@@ -78,12 +82,17 @@ class Codebase:
 
     @cached_property
     def declarations(self) -> DataFrame:
-        rows = self.with_id(extract.declarations(self.lines))
-        return rows.select("id", "service", (F.col("line_no") * 4 + F.col("kind_ord")).alias("pos"), "name", "kind")
+        pos = (F.col("line_no") * 4 + F.col("kind_ord")).alias("pos")
+        return self.stage(
+            "declarations",
+            lambda: self.with_id(extract.declarations(self.lines)).select("id", "service", pos, "name", "kind"),
+        )
 
     @cached_property
     def imports(self) -> DataFrame:
-        return self.with_id(extract.extract_imports(self.lines)).select("id", "service", "import")
+        return self.stage(
+            "imports", lambda: self.with_id(extract.extract_imports(self.lines)).select("id", "service", "import")
+        )
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -130,18 +139,24 @@ class Codebase:
 
     @cached_property
     def tree(self) -> DataFrame:
-        return src.directory_tree(self.listing)
+        return self.stage("tree", lambda: src.directory_tree(self.listing))
 
     @cached_property
     def services(self) -> DataFrame:
-        return services.discover_services(self.tree)
+        return self.stage("services", lambda: services.discover_services(self.tree))
 
     @cached_property
     def source_files(self) -> DataFrame:
+        return self.stage("source-files", self.new_source_files)
+
+    def new_source_files(self) -> DataFrame:
         return services.assign_service(src.scan_source_files(self.listing), self.services, self.tree)
 
     @cached_property
     def foreign(self) -> DataFrame:
+        return self.stage("foreign", self.new_foreign)
+
+    def new_foreign(self) -> DataFrame:
         return services.foreign_services(src.prune_dirs(self.listing), self.services, self.source_files)
 
     @cached_property
@@ -164,6 +179,9 @@ class Codebase:
 
     @cached_property
     def edges(self) -> DataFrame:
+        return self.stage("edges", self.new_edges)
+
+    def new_edges(self) -> DataFrame:
         return graph.edges(
             self.vertices,
             graph.import_edges(self.file_ids, self.imports),
@@ -222,11 +240,21 @@ class Codebase:
 
     @cached_property
     def on_main(self) -> DataFrame:
-        return br.main_commits(self.commits, self.branches)
+        return self.stage("on-main", lambda: br.main_commits(self.commits, self.branches))
 
     @cached_property
     def merges(self) -> DataFrame:
-        return br.newest_merges(self.on_main)
+        return self.stage("merges", lambda: br.newest_merges(self.on_main))
+
+    # declaration graph ---------------------------------------------------------------------------
+    def new_nodes(self) -> DataFrame:
+        big = self.with_id(extract.big_functions(self.extents))
+        big = big.select("id", "service", (F.col("start_line") * 4).alias("pos"), "name")
+        return declgraph.decl_nodes(self.declarations, big, self.degree_scores)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self.stage("nodes", self.new_nodes)
 
     # marts ---------------------------------------------------------------------------------------
     @cached_property

@@ -46,7 +46,7 @@ def r6(col: str):
 query("scan_source_files")(lambda c: src.scan_source_files(c.listing).select("path"))
 query("prune_dirs")(lambda c: src.prune_dirs(c.listing).select("path"))
 query("scan_manifests")(lambda c: src.scan_manifests(c.listing).select("path"))
-query("directory_tree")(lambda c: c.tree)
+query("directory_tree")(lambda c: src.directory_tree(c.listing))
 query("root_subdirs")(lambda c: src.root_subdirs(c.tree))
 query("list_repos")(lambda c: src.list_repos(c.tree, c.services).select("path", *big("priority")))
 
@@ -113,11 +113,11 @@ def _write(c: Codebase) -> DataFrame:
 
 # services --------------------------------------------------------------------------------------
 query("service_dirs")(lambda c: services.service_dirs(c.tree))
-query("discover_services")(lambda c: c.services.select("path"))
+query("discover_services")(lambda c: services.discover_services(c.tree).select("path"))
 query("services_root")(lambda c: services.services_root(c.services))
-query("assign_service")(lambda c: c.source_files.select("path", "service"))
+query("assign_service")(lambda c: c.new_source_files().select("path", "service"))
 query("files_by_service")(lambda c: services.files_by_service(c.source_files))
-query("foreign_services")(lambda c: c.foreign.select("name", "language", "service_path", *big("line_count", "file_count")))
+query("foreign_services")(lambda c: c.new_foreign().select("name", "language", "service_path", *big("line_count", "file_count")))
 
 
 # extraction ------------------------------------------------------------------------------------
@@ -198,7 +198,7 @@ def _words(c: Codebase) -> DataFrame:
     return graph.token_overlap(docs, names)
 
 
-query("edges")(lambda c: c.edges)
+query("edges")(lambda c: c.new_edges())
 query("degrees")(lambda c: graph.degrees(c.vertices, c.edges).select("id", *big("out_degree", "in_degree")))
 
 
@@ -233,22 +233,16 @@ def _hot_zones(c: Codebase) -> DataFrame:
                        *big("line_count", "declaration_count"), "service")
 
 
-def _nodes(c: Codebase) -> DataFrame:
-    bigs = c.with_id(extract.big_functions(c.extents)).select("id", "service", (F.col("start_line") * 4).alias("pos"), "name")
-    return dg.decl_nodes(c.declarations, bigs, c.degree_scores)
-
-
-query("decl_nodes")(lambda c: _nodes(c).select("service", "id", "name", "kind", r6("score")))
+query("decl_nodes")(lambda c: c.new_nodes().select("service", "id", "name", "kind", r6("score")))
 _L = ["service", "src", "dst"]
-query("decl_ref_edges")(lambda c: dg.decl_ref_edges(_nodes(c), c.id_lines).select(*_L))
-query("colocation_edges")(lambda c: dg.colocation_edges(_nodes(c)).select(*_L))
-query("service_message_edges")(lambda c: dg.service_message_edges(_nodes(c), c.id_lines).select(*_L))
-query("func_call_edges")(lambda c: dg.func_call_edges(_nodes(c), c.id_lines).select(*_L))
+query("decl_ref_edges")(lambda c: dg.decl_ref_edges(c.nodes, c.id_lines).select(*_L))
+query("colocation_edges")(lambda c: dg.colocation_edges(c.nodes).select(*_L))
+query("service_message_edges")(lambda c: dg.service_message_edges(c.nodes, c.id_lines).select(*_L))
+query("func_call_edges")(lambda c: dg.func_call_edges(c.nodes, c.id_lines).select(*_L))
 
 
 def _kept(c: Codebase) -> tuple[DataFrame, DataFrame]:
-    nodes = store.settle(_nodes(c), "decl-nodes")
-    return nodes, dg.cap_out_edges(nodes, dg.decl_edges(nodes, c.id_lines))
+    return c.nodes, dg.cap_out_edges(c.nodes, dg.decl_edges(c.nodes, c.id_lines))
 
 
 query("cap_out_edges")(lambda c: _kept(c)[1])
@@ -320,19 +314,18 @@ query("stale_branches")(
     lambda c: br.stale_branches(br.branch_inventory(c.branches), standins.NOW).select("name", *big("last_activity", "days_inactive"))
 )
 query("merge_commit_ranges")(
-    lambda c: br.merge_commit_ranges(c.commits, store.settle(c.merges, "merges")).select("repo", "merge", "hash", *big("ts"))
+    lambda c: br.merge_commit_ranges(c.commits, c.merges).select("repo", "merge", "hash", *big("ts"))
 )
 
 
 def _durations(c: Codebase) -> DataFrame:
-    merges = store.settle(c.merges, "merges")
-    return br.branch_durations(br.merge_commit_ranges(c.commits, merges), merges)
+    return br.branch_durations(br.merge_commit_ranges(c.commits, c.merges), c.merges)
 
 
 query("branch_durations")(lambda c: _durations(c).select(*[r6(x) for x in ("avg_lifetime_days", "avg_merge_days", "avg_delay_hours")]))
 query("rollback_rate")(lambda c: br.rollback_rate(c.on_main).select(*big("rollbacks", "main_commits"), F.col("rollback_pct").cast("double").alias("rollback_pct")))
 query("peak_commit_day")(lambda c: br.peak_commit_day(c.commits).select("peak_day", *big("commits")))
-query("main_commit_count")(lambda c: br.main_commit_count(c.on_main))
+query("main_commit_count")(lambda c: br.main_commit_count(br.main_commits(c.commits, c.branches)))
 
 # rules -----------------------------------------------------------------------------------------
 for _r in rules.RULES:
@@ -408,14 +401,12 @@ def _standards(c: Codebase) -> DataFrame:
 
 @query("branch_health")
 def _health(c: Codebase) -> DataFrame:
-    on_main = store.settle(c.on_main, "on-main")
-    merges = store.settle(br.newest_merges(on_main), "merges")
     inv = br.branch_inventory(c.branches)
     rows = marts.branch_health(
         inv,
         br.stale_branches(inv, standins.NOW),
-        br.branch_durations(br.merge_commit_ranges(c.commits, merges), merges),
-        br.rollback_rate(on_main),
+        _durations(c),
+        br.rollback_rate(c.on_main),
         br.peak_commit_day(c.commits),
     )
     return rows.select(
