@@ -11,11 +11,19 @@ _fallback: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests), a local folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
+
+    Where neither is set, a local session (tests) gets a folder of its own; a cluster is refused, as its
+    executors would each write to their own disk and later reads would miss those files.
+    """
     global _fallback
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    configured = configured or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="codequarry-")
     return _fallback
