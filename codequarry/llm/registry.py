@@ -1,9 +1,10 @@
 """The registered queries of the training-data operators, and the check SQL of those that SQL can express."""
 
-from codequarry.llm import mixing, sharding
+from codequarry.llm import mixing, sharding, toxicity
 
 QUERIES = {
     "op7_sharding": sharding.query,
+    "op8_toxicity": toxicity.query,
     "op10_mixing": mixing.query,
 }
 ORACLE_SQL = {
