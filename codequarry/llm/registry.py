@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators, and the check SQL of those that SQL can express."""
 
-from codequarry.llm import mixing, sharding, toxicity
+from codequarry.llm import mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op4_quality": quality.query,
     "op7_sharding": sharding.query,
     "op8_toxicity": toxicity.query,
     "op10_mixing": mixing.query,
