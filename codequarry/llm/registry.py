@@ -1,13 +1,15 @@
 """The registered queries of the training-data operators, and the check SQL of those that SQL can express."""
 
-from codequarry.llm import mixing, quality, sharding, toxicity
+from codequarry.llm import linededup, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op4_quality": quality.query,
+    "op6_line_dedup": linededup.query,
     "op7_sharding": sharding.query,
     "op8_toxicity": toxicity.query,
     "op10_mixing": mixing.query,
 }
 ORACLE_SQL = {
+    "op6_line_dedup": linededup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
