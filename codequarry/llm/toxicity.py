@@ -2,7 +2,7 @@
 
 Training: in a bounded sample of labelled documents, count in how many toxic and clean ones each word and each
 word beginning of 3 to 6 letters occurs. A word's toxic share has a Dirichlet prior whose mean is the share of
-its 6-letter beginning, whose prior is that of its 5-letter beginning, and so on up to the share over all
+its 7-letter beginning, whose prior is that of its 6-letter beginning, and so on up to the share over all
 words; so an unseen form of a known stem gets the stem's odds. A token scores the log-odds of its share
 against the share over all words, less ``DRIFT``, so that clean prose sums to less and less.
 
@@ -29,8 +29,8 @@ SAMPLE_ROWS = 30_000
 PARTS, FOLD = 4, 2
 THRESHOLD = 0.3
 BITS = 20
-PREFIXES = [3, 4, 5, 6]
-PRIOR = 4.0
+PREFIXES = [3, 4, 5, 6, 7]
+PRIOR = 16.0
 DRIFT = 1.0
 MOST_PASSAGES = 1.0  # a passage is significant if chance gives at most so many as good in the text
 
@@ -71,12 +71,19 @@ class Odds:
         self.toxic, self.both = toxic.astype(np.float32), (toxic + clean).astype(np.float32)
         self.share = (float(toxic.sum()) + 0.5) / (float(self.both.sum()) + 1.0)
 
-    def tokens(self, buckets: np.ndarray) -> np.ndarray:
+    def tokens(self, buckets: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Scores of words; a word that occurred before in its text is no new evidence and scores 0 if it speaks for toxicity."""
         share = np.full(buckets.shape[1], self.share, np.float32)
         for row in buckets:
             share = (self.toxic[row] + PRIOR * share) / (self.both[row] + PRIOR)
         share = np.clip(share, 1e-6, 1 - 1e-6)
-        return np.log(share / (1 - share)) - np.log(self.share / (1 - self.share)) - DRIFT
+        scores = np.log(share / (1 - share)) - np.log(self.share / (1 - self.share)) - DRIFT
+        up = np.flatnonzero(scores > 0)
+        new = np.unique(doc[up] << BITS | buckets[-1][up], return_index=True)[1]
+        again = np.ones(len(up), bool)
+        again[new] = False
+        scores[up[again]] = 0
+        return scores
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -147,10 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
     spark = docs.sparkSession
     known = labelled.sample(docs, labels, "toxic", PARTS, FOLD, rows)
     counted = known.select("text", "label", "half").mapInArrow(_counts, "label int, half int, bucket long, n long")
-    counted = counted.groupBy("label", "half", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 4 * 2^BITS rows
-    counts = np.zeros((2, 2, 1 << BITS), np.int32)
-    counts[counted["label"].to_numpy(), counted["half"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    del counted
+    cell = [F.sum(F.when((F.col("label") == i) & (F.col("half") == h), F.col("n")).otherwise(0)).cast("int").alias(f"n{i}{h}") for i in (0, 1) for h in (0, 1)]
+    counted = counted.groupBy("bucket").agg(*cell).where("n00 + n01 + n10 + n11 > 1").toArrow()  # at most 2^BITS rows of 24 bytes
+    counts, bucket = np.zeros((2, 2, 1 << BITS), np.int32), counted["bucket"].to_numpy()
+    for i in (0, 1):
+        for h in (0, 1):
+            counts[i, h, bucket] = counted[f"n{i}{h}"].to_numpy()
+    del counted, bucket
     if not counts[0].any() or not counts[1].any():
         return None
     halves = spark.sparkContext.broadcast(counts)
@@ -162,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
             out = []
             for lo, hi in wordscan.slices(texts):
                 words, buckets = features(texts.slice(lo, hi - lo))
-                per, scores = words.per_doc(), [m.tokens(buckets) for m in models]
+                per, scores = words.per_doc(), [m.tokens(buckets, words.doc) for m in models]
                 for i in range(hi - lo):
                     found = segments(scores[half[lo + i]][per[i] : per[i + 1]])
                     out.append(([s for s, _, _ in found], int(per[i + 1] - per[i])))
@@ -176,8 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
     law = gumbel(best[(y == 0) & (best > 0)], length[(y == 0) & (best > 0)])
     facts = np.array([_evidence(n, f, law) for n, f in zip(length, found, strict=True)])
     weights = logistic(squash(facts[:, 0], facts[:, 1]), y)
-    halves.unpersist()
-    return spark.sparkContext.broadcast((counts[1].sum(0), counts[0].sum(0), law, weights))
+    halves.destroy()
+    toxic, clean = counts[1].sum(0, dtype=np.int32), counts[0].sum(0, dtype=np.int32)
+    return spark.sparkContext.broadcast((toxic, clean, law, weights))
 
 
 class Judge:
@@ -197,7 +208,7 @@ class Judge:
         texts, facts = wordscan.as_bytes(texts), np.zeros((len(texts), 2))
         for lo, hi in wordscan.slices(texts):
             words, buckets = features(texts.slice(lo, hi - lo))
-            per, scores = words.per_doc(), self.odds.tokens(buckets)
+            per, scores = words.per_doc(), self.odds.tokens(buckets, words.doc)
             for i in range(hi - lo):
                 a, b = int(per[i]), int(per[i + 1])
                 found = segments(scores[a:b])
