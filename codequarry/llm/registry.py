@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators, and the check SQL of those that SQL can express."""
 
-from codequarry.llm import linededup, minhash, mixing, quality, sharding, toxicity
+from codequarry.llm import linededup, minhash, mixing, quality, sentencepiece_fst, sharding, toxicity
 
 QUERIES = {
+    "op2_sentencepiece": sentencepiece_fst.query,
     "op3_minhash": minhash.query,
     "op4_quality": quality.query,
     "op6_line_dedup": linededup.query,
