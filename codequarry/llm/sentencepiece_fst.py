@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from codequarry.llm import wordscan
 
@@ -274,7 +275,7 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
                     extra.append(pa.array(same))
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], *extra], [*others, "token_ids", *["round_trip"] * check])
 
-    schema = docs.drop("text").schema.add("token_ids", "array<int>")
+    schema = docs.drop("text").schema.add("token_ids", T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(run, schema.add("round_trip", "boolean") if check else schema)
 
 
