@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
     first = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(found["bucket"]).to_numpy())])
     machine = Machine(stats.mean(0), stats.std(0) + 1e-6)
     machine.fit(*machine.rows(stats, first, flat("bucket"), flat("value")), y)
-    return spark.sparkContext.broadcast(machine)
+    return spark.sparkContext.broadcast((machine.mean, machine.scale, machine.bias, machine.w, machine.v))
 
 
 def score(docs: DataFrame, model) -> DataFrame:
@@ -208,13 +208,16 @@ def score(docs: DataFrame, model) -> DataFrame:
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = model.value
+        known = not isinstance(model.value, float)
+        if known:
+            machine = Machine(*model.value[:2])
+            machine.bias, machine.w, machine.v = model.value[2:]
         for batch in batches:
             texts = wordscan.as_bytes(batch.column(1))
             out = np.zeros(len(texts))
             for lo, hi in wordscan.slices(texts):
-                if isinstance(machine, float):
-                    out[lo:hi] = machine
+                if not known:
+                    out[lo:hi] = model.value
                     continue
                 margin = machine.margin(*machine.rows(*extract(texts.slice(lo, hi - lo))))[0]
                 out[lo:hi] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
