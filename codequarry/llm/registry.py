@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators, and the check SQL of those that SQL can express."""
 
-from codequarry.llm import html_crf, linededup, minhash, mixing, quality, sentencepiece_fst, sharding, toxicity
+from codequarry.llm import embedding_dedup, html_crf, linededup, minhash, mixing, quality, sentencepiece_fst, sharding, topk, toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.query,
     "op2_sentencepiece": sentencepiece_fst.query,
     "op3_minhash": minhash.query,
     "op4_quality": quality.query,
@@ -10,10 +11,12 @@ QUERIES = {
     "op6_line_dedup": linededup.query,
     "op7_sharding": sharding.query,
     "op8_toxicity": toxicity.query,
+    "op9_topk": topk.query,
     "op10_mixing": mixing.query,
 }
 ORACLE_SQL = {
     "op5_html_text": html_crf.query,
     "op6_line_dedup": linededup.ORACLE,
+    "op9_topk": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
