@@ -28,24 +28,25 @@ MIN_WORDS = 10
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
-def _key():
-    """Tells documents apart that share an id; rows alike in both are treated as one document."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\x00"), F.coalesce("text", F.lit(""))))
+def _text_hash(text):
+    """With the id, tells documents apart; rows alike in both are treated as one document."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, text`` to ``_key, lines``: for each document with deletions, the numbers (from 0) of its deleted lines.
+    """``doc_id, text`` to ``doc_id, hash, lines``: for each document with deletions, the numbers (from 0) of its deleted lines.
 
     Lines are compared without outer white space; lines without words are passed over, but go if they lie
-    within a deleted run. Documents are ordered by id (null first), then by a hash of their text.
+    within a deleted run. Documents are ordered by id (null first), then by the hash of their text.
     """
-    cut = F.transform(F.split(F.col("text"), "\n", -1), lambda s: F.regexp_replace(s, _TRIM, ""))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", _key().alias("_key"), cut.alias("_cut"))
-    line = rows.select("doc_id", "_key", F.posexplode("_cut").alias("pos", "_line")).where("_line <> ''")
-    line = line.select("doc_id", "_key", "pos", F.xxhash64("_line").alias("hash"), F.xxhash64(F.lit(1), "_line").alias("more"), word_count(F.col("_line")).alias("words"))
-    line = line.dropDuplicates(["_key", "pos"])
-
-    document = Window.partitionBy("_key")
+    bare = F.transform(F.split(F.col("text"), "\n", -1), lambda s: F.regexp_replace(s, _TRIM, ""))
+    facts = F.transform("_bare", lambda s, i: F.struct(i.alias("pos"), F.xxhash64(s).alias("hash"), F.xxhash64(F.lit(1), s).alias("more"), word_count(s).cast("int").alias("words")))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", _text_hash(F.col("text")).alias("_text"), bare.alias("_bare"))
+    rows = rows.select("doc_id", "_text", F.filter(facts, lambda x: x["words"] > 0).alias("_lines"))
+    rows = rows.groupBy("doc_id", "_text").agg(F.first("_lines").alias("_lines"))
+    line = rows.select("doc_id", "_text", F.inline("_lines"))
+
+    document = Window.partitionBy("doc_id", "_text")
     line = line.withColumn("end", F.sum("words").over(document.orderBy("pos")))
     line = line.withColumn("begin", F.col("end") - F.col("words")).withColumn("total", F.sum("words").over(document))
     ahead = document.orderBy("begin").rangeBetween(0, min_words - 1)
@@ -56,23 +57,24 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return F.struct(F.lit(name).alias("way"), F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), F.min(F.struct("hash", "pos")).over(frame).alias("least"), content.alias("content"))
 
     whole_ahead = F.when(F.col("total") - F.col("begin") >= min_words, window("ahead", ahead))
-    whole_back = F.when(F.col("end") >= min_words, window("back", back))
-    windows = line.select("doc_id", "_key", whole_ahead.alias("ahead"), whole_back.alias("back"))
-    windows = windows.select("doc_id", "_key", F.explode(F.array("ahead", "back")).alias("w")).where("w is not null")
+    # a line that is long enough by itself is one window, not two
+    whole_back = F.when((F.col("end") >= min_words) & (F.col("words") < min_words), window("back", back))
+    windows = line.select("doc_id", "_text", whole_ahead.alias("ahead"), whole_back.alias("back"))
+    windows = windows.select("doc_id", "_text", F.explode(F.array("ahead", "back")).alias("w")).where("w is not null")
     windows = windows.select(
-        "doc_id", "_key", "w.first", "w.last", F.col("w.least.hash").alias("print"), F.col("w.least.pos").alias("print_pos"),
+        "doc_id", "_text", "w.first", "w.last", F.col("w.least.hash").alias("print"), F.col("w.least.pos").alias("print_pos"),
         F.xxhash64("w.way", "w.content").alias("same"), F.xxhash64(F.lit(1), "w.way", "w.content").alias("same_too"),
     )
     windows = settle(windows, "windows")
 
-    place = F.struct("_key", "print_pos")
+    place = F.struct("doc_id", "_text", "print_pos")
     prints = windows.groupBy("print").agg(F.min(place).alias("_low"), F.max(place).alias("_high")).where("_low <> _high")
     shared = windows.join(prints.select("print"), "print", "left_semi")
-    content, at = ["same", "same_too"], F.struct("doc_id", "_key", "first")
+    content, at = ["same", "same_too"], F.struct("doc_id", "_text", "first")
     origin = shared.groupBy(*content).agg(F.min(at).alias("_origin"), F.count(F.lit(1)).alias("_times")).where("_times > 1").drop("_times")
     later = shared.join(origin, content).where(at != F.col("_origin"))
-    gone = later.select("_key", F.explode(F.sequence("first", "last")).alias("pos"))
-    return gone.groupBy("_key").agg(F.array_sort(F.collect_set("pos")).alias("lines"))
+    gone = later.select("doc_id", "_text", F.explode(F.sequence("first", "last")).alias("pos"))
+    return gone.groupBy("doc_id", F.col("_text").alias("hash")).agg(F.array_sort(F.collect_set("pos")).alias("lines"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -82,9 +84,9 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     whose lines are all deleted stays with an empty text. Rows with equal id and text are one document and
     get the same result. Columns of any other name are carried along.
     """
-    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text").select("_row", _key().alias("_key"))
+    packed = docs.select(F.struct("*").alias("_row"))
     gone = repeated_lines(docs.select("doc_id", "text"), min_words)
-    both = packed.join(gone, "_key", "left")
+    both = packed.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("doc_id")) & (_text_hash(F.col("_row.text")) == F.col("hash")), "left")
     # maps of line numbers keep the filter linear in the number of lines
     hit = F.map_from_arrays("lines", F.transform("lines", lambda _: F.lit(True)))
     kept = F.filter(F.split("_row.text", "\n", -1), lambda s, i: F.try_element_at(F.col("_hit"), i).isNull())
