@@ -185,12 +185,10 @@ def rollback_rate(on_main: DataFrame) -> DataFrame:
     return counts.withColumn("rollback_pct", rate)
 
 
-def peak_commit_day(commits: DataFrame, per_repo: int = 2000) -> DataFrame:
-    """UTC weekday with most commits among the newest of each repository; equal counts go Sunday first."""
-    newest = Window.partitionBy("repo").orderBy("log_seq")
-    rows = commits.select("repo", "log_seq", "ts").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= per_repo)
+def peak_commit_day(commits: DataFrame) -> DataFrame:
+    """UTC weekday with most commits; equal counts go Sunday first. One aggregate, combined before its shuffle."""
     day = F.pmod(F.floor(F.col("ts") / 86_400) + 4, F.lit(7)).cast("int")
-    counts = rows.where("ts > 0").groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    counts = commits.where("ts > 0").groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))
     names = F.array(*[F.lit(w) for w in fixed.WEEKDAYS])
     best = counts.agg(F.min(F.struct(-F.col("n"), F.col("d"))).alias("b"))
     return best.select(F.get(names, F.col("b.d")).alias("peak_day"), F.abs(F.col("b")["col1"]).alias("commits"))

@@ -1,7 +1,6 @@
 """Declaration graph per service, and the service / technology architecture graph.
 
-``nodes``: service, id (file::name), file, name, kind, score. A service keeps at most ``node_cap``
-nodes, so everything after ``decl_nodes`` is bounded per service except the text scan for words.
+``nodes``: service, id (file::name), file, name, kind, score.
 """
 
 from __future__ import annotations
@@ -15,12 +14,12 @@ TYPE_KINDS = ("struct", "interface", "message", "service", "enum")
 MIN_SCORE = 0.001
 
 
-def decl_nodes(declarations: DataFrame, big_functions: DataFrame, scores: DataFrame, node_cap: int = 80) -> DataFrame:
+def decl_nodes(declarations: DataFrame, big_functions: DataFrame, scores: DataFrame, node_cap: int | None = None) -> DataFrame:
     """Types and enums (names of 3 bytes or more), functions once per file, and big functions.
 
     ``declarations``: id (file), service, pos, name, kind; ``big_functions``: id, service, pos, name.
-    The cap keeps the declarations of the best-scored files; it is a rank per service whose filter also
-    limits each input partition.
+    ``scores``: id, score, the files' PageRank. ``node_cap``, for a viewer, keeps the declarations of the
+    best-scored files of each service.
     """
     long_name = F.octet_length("name") >= 3
     types = declarations.where(F.col("kind").isin(*TYPE_KINDS) & long_name).select(
@@ -40,9 +39,10 @@ def decl_nodes(declarations: DataFrame, big_functions: DataFrame, scores: DataFr
     )
     found = types.unionByName(once).join(scores.select(F.col("id").alias("file"), "score"), "file", "left")
     found = found.withColumn("score", F.coalesce("score", F.lit(0.0)))
-    order = Window.partitionBy("service").orderBy(F.desc(F.round("score", 12)), F.split(F.col("file"), "/"), "slot", "pos", "name")
-    kept = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= node_cap)
-    return kept.select(
+    if node_cap is not None:
+        order = Window.partitionBy("service").orderBy(F.desc(F.round("score", 12)), F.split(F.col("file"), "/"), "slot", "pos", "name")
+        found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= node_cap)
+    return found.select(
         "service",
         F.concat_ws("::", "file", "name").alias("id"),
         "file",

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from codequarry.functions import text
 from codequarry.sources.store import settle
 
-BROADCAST_VERTICES = 1_000_000
 HUB_EDGES = 100_000
 REF_KINDS = ("struct", "interface", "message", "service")
 
@@ -49,21 +48,17 @@ def file_words(lines: DataFrame, min_bytes: int = 1) -> DataFrame:
 
 
 def type_ref_edges(
-    files: DataFrame, lines: DataFrame, declarations: DataFrame, decl_cap: int | None = None, min_bytes: int = 3
+    files: DataFrame, lines: DataFrame, declarations: DataFrame, min_bytes: int = 3
 ) -> DataFrame:
     """File -> file of the same service that declares a type the first one mentions.
 
     A whole-word search for an identifier equals membership in the file's token set, so the search is
     an equality join of (service, word). Words nobody declares are removed before the join.
-    ``decl_cap`` keeps only the first declarations of each service in file order.
     """
     group = F.when(F.col("service") == "", "__root__").otherwise(F.col("service"))
     decls = declarations.where(F.col("kind").isin(*REF_KINDS) & (F.octet_length("name") >= min_bytes)).select(
-        group.alias("service"), "name", "id", "pos"
+        group.alias("service"), "name", "id"
     )
-    if decl_cap is not None:
-        order = Window.partitionBy("service").orderBy(F.split(F.col("id"), "/"), "pos")
-        decls = decls.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= decl_cap)
     targets = decls.select("service", F.col("name").alias("word"), F.col("id").alias("dst")).distinct()
     used = file_words(lines, min_bytes).join(targets.select("word").distinct(), "word", "left_semi")
     sources = used.join(files.select("id", group.alias("service")), "id").select("service", "word", F.col("id").alias("src"))
@@ -74,7 +69,9 @@ def token_overlap(docs: DataFrame, names: DataFrame, min_chars: int = 3) -> Data
     """The token join on free text: group-wise mentions of ``names(word, owner)`` in ``docs(id, grp, text)``."""
     word = F.filter(text.words(F.col("text")), lambda w: F.length(w) >= min_chars)
     used = docs.select("id", "grp", F.explode(word).alias("word"))
-    return used.join(names, "word").groupBy("grp", "word").agg(F.count(F.lit(1)).alias("mentions"))
+    # counted before the join: a frequent word is one row per group, not one per mention
+    counts = used.groupBy("grp", "word").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.join(names, "word").groupBy("grp", "word").agg(F.sum("_n").alias("mentions"))
 
 
 def edges(vertex: DataFrame, *parts: DataFrame) -> DataFrame:
@@ -101,78 +98,56 @@ def pagerank(
     damping: float = 0.85,
     iterations: int = 100,
     settle_every: int = 5,
-    broadcast_vertices: int = BROADCAST_VERTICES,
     hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
     """Scores after a fixed number of rounds from 1/n; the share of vertices without out-edges is lost.
 
-    Only vertices with in-edges change after the first round; the others keep the base score, so their
-    contribution per target is one constant row. A round is then one join of scores with edges and one
-    sum per target (partially summed before its shuffle).
-
-    Up to ``broadcast_vertices`` (counted first) the scores are broadcast and edges stay in place.
-    Beyond that the edges are partitioned once by (source, salt) and kept; a source gets one salt per
-    ``hub_edges`` out-edges, so a hub's edges spread over tasks, and each round moves only scores and
-    partial sums. Scores are written to the shared folder every ``settle_every`` rounds, which bounds
-    plan size and recomputation; the kept edges can be rebuilt from their own written table.
+    Vertices get 64-bit numbers once. Links are partitioned once by (source, salt) and kept sorted: a source
+    has one salt per ``hub_edges`` out-edges, so that a hub's links spread over tasks. Only vertices with
+    in-edges change after the first round; the others keep the base score, so what they give to a target
+    is one constant row. A round moves scores to their links (one row, or one per salt of a hub), joins
+    without moving links, and sums per target, partially before the shuffle. Scores are written to the
+    shared folder every ``settle_every`` rounds, which bounds the plan and what is computed again.
     """
     spark = vertex.sparkSession
-    vertex = settle(vertex.select("id").distinct(), "rank-vertices")
+    vertex = settle(vertex.select("id").distinct().withColumn("v", F.monotonically_increasing_id()), "rank-vertices")
     n = vertex.count()
     base, start = (1.0 - damping) / max(n, 1), 1.0 / max(n, 1)
     if n == 0 or iterations < 1:
         return vertex.select("id", F.lit(start).alias("score"))
-    small = n <= broadcast_vertices
-    out_deg = edge.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
-    salts = F.ceil(F.col("out_degree") / hub_edges).cast("int")
-    links = settle(
-        edge.join(out_deg, "src").select(
-            "src", "dst", "out_degree", salts.alias("salts"), F.pmod(F.xxhash64("dst"), salts).cast("int").alias("salt")
-        ),
-        "rank-links",
-    )
-    fed = links.select(F.col("dst").alias("src")).distinct()
+    numbered = edge.join(vertex.select(F.col("id").alias("src"), F.col("v").alias("s")), "src")
+    numbered = numbered.join(vertex.select(F.col("id").alias("dst"), F.col("v").alias("t")), "dst").select("s", "t")
+    out_deg = edge.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree")).join(vertex.withColumnRenamed("id", "src"), "src")
+    out_deg = out_deg.select(F.col("v").alias("s"), "out_degree", F.ceil(F.col("out_degree") / hub_edges).cast("int").alias("salts"))
+    numbered = numbered.join(out_deg, "s").join(out_deg.select(F.col("s").alias("t"), F.col("salts").alias("t_salts")), "t", "left")
+    salt = F.pmod(F.xxhash64("t"), F.col("salts")).cast("int")
+    links = settle(numbered.select("s", salt.alias("salt"), "out_degree", "t", F.coalesce("t_salts", F.lit(1)).alias("t_salts")), "rank-links")
+    fed = links.select(F.col("t").alias("s")).distinct()
     constant = settle(
-        links.join(fed, "src", "left_anti")
-        .select("dst", (base / F.col("out_degree")).alias("part"))
-        .unionByName(links.select("dst", F.lit(0.0).alias("part")).distinct())
-        .groupBy("dst")
+        links.join(fed, "s", "left_anti")
+        .select("t", "t_salts", (base / F.col("out_degree")).alias("part"))
+        .unionByName(links.select("t", "t_salts", F.lit(0.0).alias("part")).distinct())
+        .groupBy("t", "t_salts")
         .agg(F.sum("part").alias("part")),
         "rank-constant",
     )
-    moving = links.join(fed, "src", "left_semi").select("src", "salt", "salts", "dst", "out_degree")
-    if small:
-        # the constant rows ride along without a source: one kept table, one outer join per round
-        kept = (
-            moving.select("src", "dst", "out_degree", F.lit(0.0).alias("part"))
-            .unionByName(constant.select(F.lit(None).cast("string").alias("src"), "dst", F.lit(1).cast("bigint").alias("out_degree"), "part"))
-            .persist()
-        )
-    else:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        kept = moving.repartition(parts, "src", "salt").persist()
-        spread = settle(kept.groupBy("src").agg(F.max("salts").alias("salts")), "rank-salts")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    moving = links.join(fed, "s", "left_semi").select("s", "salt", "t", "t_salts", "out_degree")
+    kept = moving.repartition(parts, "s", "salt").sortWithinPartitions("s", "salt").persist()
 
     def score(parts_in: DataFrame) -> DataFrame:
-        return parts_in.groupBy(F.col("dst").alias("src")).agg((F.lit(base) + damping * F.sum("part")).alias("score"))
+        got = (F.lit(base) + damping * F.sum("part")).alias("score")
+        return parts_in.groupBy(F.col("t").alias("s")).agg(got, F.max("t_salts").alias("salts"))
 
-    share = F.col("score") / F.col("out_degree")
-    scores = settle(score(links.select("dst", (start / F.col("out_degree")).alias("part"))), "rank-1")
+    scores = settle(score(links.select("t", "t_salts", (start / F.col("out_degree")).alias("part"))), "rank-1")
     for step in range(2, iterations + 1):
-        if small:
-            flow = kept.join(F.broadcast(scores), "src", "left").select("dst", F.coalesce(share, F.col("part")).alias("part"))
-        else:
-            salted = scores.join(spread, "src").select(
-                "src", "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-            )
-            flow = kept.join(salted, ["src", "salt"]).select("dst", share.alias("part")).unionByName(constant)
-        scores = score(flow)
+        sent = scores.select("s", "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        flow = kept.join(sent, ["s", "salt"]).select("t", "t_salts", (F.col("score") / F.col("out_degree")).alias("part"))
+        scores = score(flow.unionByName(constant))
         if step % settle_every == 0 or step == iterations:
             scores = settle(scores, f"rank-{step}")
     kept.unpersist()
-    return vertex.join(scores.withColumnRenamed("src", "id"), "id", "left").select(
-        "id", F.coalesce("score", F.lit(base)).alias("score")
-    )
+    return vertex.join(scores.withColumnRenamed("s", "v"), "v", "left").select("id", F.coalesce("score", F.lit(base)).alias("score"))
 
 
 def _rank_key():

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from codequarry.functions import fixed, text
 
 
-def latest_commits(commits: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """Newest ``limit`` commits per repository in log order (None keeps all).
+def latest_commits(commits: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest ``limit`` commits per repository in log order (None, the default, keeps all).
 
-    The rank filter limits each input partition before the shuffle, so one large repository does not
-    collect in one task.
+    Up to a limit of 1,000 the rank filter also limits each input partition before the shuffle, so that one
+    large repository does not collect in one task.
     """
     if limit is None:
         return commits

@@ -57,22 +57,14 @@ def service_summary(files: DataFrame, declarations: DataFrame) -> DataFrame:
 
 
 def service_order(summary: DataFrame) -> DataFrame:
-    """Gateways first, then proto services, then by lines; equal sizes by name."""
-    s = F.col("service")
-    return summary.orderBy(
-        F.when(text.is_gateway(s), 0).otherwise(1),
-        F.when(text.is_proto_service(s), 0).otherwise(1),
-        F.desc("total_lines"),
-        "service",
-    )
-
+    """Gateways first, then proto services, then by lines, equal sizes by name: the order as ``place`` (from 1), with its keys.
 
-def service_rank(summary: DataFrame) -> DataFrame:
-    """The same order as sort keys, for tables that are sorted later."""
+    ``summary`` has one row per service, so its ranking fits one task.
+    """
     s = F.col("service")
-    return summary.select(
-        "service", "total_lines", text.is_gateway(s).alias("is_gateway"), text.is_proto_service(s).alias("is_proto")
-    )
+    keyed = summary.select("service", "total_lines", text.is_gateway(s).alias("is_gateway"), text.is_proto_service(s).alias("is_proto"))
+    order = Window.orderBy(F.desc("is_gateway"), F.desc("is_proto"), F.desc("total_lines"), "service")
+    return keyed.withColumn("place", F.row_number().over(order))
 
 
 def foreign_language_lines(foreign: DataFrame) -> DataFrame:

@@ -473,11 +473,11 @@ def all_hits(lines: DataFrame, keys: tuple[str, ...] = ACTIVE, chunk_rows: int |
     return out
 
 
-def cap_hits(hits: DataFrame, cap: int = 10) -> DataFrame:
-    """First ``cap`` hits per rule in file order, then line order of the trigger.
+def cap_hits(hits: DataFrame, cap: int) -> DataFrame:
+    """First ``cap`` hits per rule in file order, then line order of the trigger, with their ``position``: for a viewer.
 
-    The rank filter also limits every input partition to ``cap`` hits per rule before the shuffle, so
-    the few rule partitions receive only small inputs however many hits there are.
+    For a ``cap`` of up to 1,000 (Spark's limit for it) the rank filter also limits every input partition
+    before the shuffle, so the few rule partitions receive only small inputs however many hits there are.
     """
     file_order = F.split(text.abs_path(F.col("repo"), F.col("path")), "/")
     per_rule = Window.partitionBy("rule").orderBy(file_order, "trigger_line", "line_no")
@@ -485,12 +485,12 @@ def cap_hits(hits: DataFrame, cap: int = 10) -> DataFrame:
 
 
 def run_rules(
-    lines: DataFrame, keys: tuple[str, ...] = ACTIVE, cap: int = 10, chunk_rows: int | None = AUTO
+    lines: DataFrame, keys: tuple[str, ...] = ACTIVE, cap: int | None = None, chunk_rows: int | None = AUTO
 ) -> DataFrame:
-    """The report's violations: capped hits with the three-part display path."""
-    return cap_hits(all_hits(lines, keys, chunk_rows), cap).withColumn(
-        "display_path", text.last_parts(text.abs_path(F.col("repo"), F.col("path")))
-    )
+    """All violations with the three-part display path; with ``cap``, the first of each rule only, numbered."""
+    hits = all_hits(lines, keys, chunk_rows)
+    hits = hits if cap is None else cap_hits(hits, cap)
+    return hits.withColumn("display_path", text.last_parts(text.abs_path(F.col("repo"), F.col("path"))))
 
 
 def violation_authors(violations: DataFrame, line_authors: DataFrame) -> DataFrame:
@@ -506,7 +506,7 @@ def rule_registry(spark, include_dormant: bool = False) -> DataFrame:
 
 
 def rule_summary(violations: DataFrame, include_dormant: bool = False) -> DataFrame:
-    """Each rule with its number of reported violations and whether it passed."""
+    """Each rule with its number of violations and whether it passed."""
     counts = violations.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
     rules = rule_registry(violations.sparkSession, include_dormant)
     # at most one row per rule on either side

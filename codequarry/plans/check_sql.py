@@ -311,7 +311,6 @@ CHECKS["vertices"] = "SELECT id FROM files"
 CHECKS["name_map"] = "SELECT name, id FROM names"
 CHECKS["import_edges"] = "SELECT * FROM imp_edges"
 CHECKS["type_ref_edges"] = "SELECT * FROM ref_edges"
-CHECKS["type_ref_edges_first_500"] = _ref + " AND d.n <= 500"
 CHECKS["type_ref_words"] = (
     "SELECT lang AS grp, word, count(*) AS mentions FROM (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents) d "
     "WHERE length(word) >= 3 AND word IN (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) FROM benchmark) GROUP BY lang, word"
@@ -353,10 +352,8 @@ CTES["node_pool"] = (
     "SELECT f.service, f.id, 1, e.start_line * 4, e.name FROM extents e JOIN files f USING (repo, path) WHERE e.line_count >= 25) b "
     "QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY slot, pos) = 1"
 )
-CTES["file_score"] = "SELECT id, in_degree + CASE WHEN ends_with(id, '.proto') THEN 5 ELSE 0 END AS points FROM degree"
 CTES["nodes"] = (
-    "SELECT service, file || '::' || name AS id, file, name, kind, greatest(points / 10000.0, 0.001) AS score FROM node_pool p JOIN file_score d ON d.id = p.file "
-    "QUALIFY row_number() OVER (PARTITION BY service ORDER BY points DESC, string_split(file, '/'), slot, pos, name) <= 80"
+    f"SELECT service, file || '::' || name AS id, file, name, kind, greatest(coalesce(d.score, 0), 0.001::DOUBLE) AS score FROM node_pool p LEFT JOIN rank{_ROUNDS} d ON d.id = p.file"
 )
 CTES["node_refs"] = (
     "SELECT DISTINCT s.service, s.id AS src, g.id AS dst, s.kind AS src_kind, g.kind AS dst_kind, g.score AS dst_score FROM nodes s JOIN nodes g ON g.service = s.service AND g.file <> s.file AND g.name <> s.name AND strlen(g.name) > 4 "
@@ -412,7 +409,7 @@ CTES["recent"] = (
     "SELECT repo, path, string_agg(subject, '|' ORDER BY n) AS recent_messages FROM (SELECT repo, path, subject, row_number() OVER (PARTITION BY repo, path ORDER BY log_seq, hash) AS n FROM touches) x WHERE n <= 5 GROUP BY repo, path"
 )
 CTES["fstats"] = "SELECT repo, path, count(*) AS change_count, max(ts) AS last_modified, min(ts) AS first_commit_date FROM touches GROUP BY repo, path"
-CHECKS["latest_commits"] = f"SELECT repo, hash, {big('log_seq')} FROM commits QUALIFY row_number() OVER (PARTITION BY repo ORDER BY log_seq) <= 1000"
+CHECKS["latest_commits"] = f"SELECT repo, hash, {big('log_seq')} FROM commits"
 CHECKS["author_stats"] = "SELECT * FROM author_totals"
 CHECKS["write_marts"] = "SELECT *, '2024-01-01' AS run_date FROM author_totals"
 CHECKS["file_stats"] = "SELECT * FROM fstats"
@@ -486,7 +483,7 @@ CTES["rollbacks"] = (
     "CAST(round(100.0 * count(*) FILTER (WHERE contains(lower(message), 'revert') OR contains(lower(message), 'rollback')) / count(*), 1) AS DOUBLE) AS rollback_pct FROM mcommits"
 )
 CTES["peak"] = (
-    "SELECT dayname(to_timestamp(ts) AT TIME ZONE 'UTC') AS peak_day, count(*) AS commits FROM (SELECT ts FROM commits QUALIFY row_number() OVER (PARTITION BY repo ORDER BY log_seq) <= 2000) x WHERE ts > 0 "
+    "SELECT dayname(to_timestamp(ts) AT TIME ZONE 'UTC') AS peak_day, count(*) AS commits FROM commits WHERE ts > 0 "
     "GROUP BY 1, dayofweek(to_timestamp(ts) AT TIME ZONE 'UTC') ORDER BY count(*) DESC, dayofweek(to_timestamp(ts) AT TIME ZONE 'UTC') LIMIT 1"
 )
 CHECKS["merge_commit_ranges"] = "SELECT * FROM ranges"
@@ -589,14 +586,13 @@ for _r in rules.RULES:
     CTES[f"hits_{_r.key}"] = _HITS[_r.key]
     CHECKS[_r.key] = f"SELECT repo, path, {big('line_no', 'trigger_line')}, {snip('text')} AS snippet FROM hits_{_r.key}"
 CTES["all_hits"] = " UNION ALL ".join(f"SELECT {lit(k)} AS rule, repo, path, line_no, trigger_line, text FROM hits_{k}" for k in rules.ACTIVE)
-CTES["capped_hits"] = "SELECT *, row_number() OVER (PARTITION BY rule ORDER BY string_split(repo || '/' || path, '/'), trigger_line, line_no) AS position FROM all_hits QUALIFY position <= 10"
 _abs = "repo || '/' || path"
-CHECKS["run_rules"] = f"SELECT rule, position, {last3(_abs)} AS display_path, {big('line_no')}, {snip('text')} AS snippet FROM capped_hits"
+CHECKS["run_rules"] = f"SELECT rule, {last3(_abs)} AS display_path, {big('line_no')}, {snip('text')} AS snippet FROM all_hits"
 CHECKS["violation_authors"] = (
-    f"SELECT c.rule, c.position, c.repo, c.path, CAST(c.line_no AS BIGINT) AS line_no, CASE WHEN c.line_no % 5 <> 0 THEN l.author ELSE '' END AS author FROM capped_hits c JOIN code_lines l USING (repo, path, line_no)"
+    f"SELECT c.rule, c.repo, c.path, CAST(c.line_no AS BIGINT) AS line_no, l.author FROM all_hits c JOIN code_lines l USING (repo, path, line_no)"
 )
 _reg = ", ".join(f"({i}, {lit(r.key)}, {lit(r.priority)})" for i, r in enumerate(rules.RULES) if not r.dormant)
-CHECKS["rule_summary"] = f"SELECT CAST(o AS BIGINT) AS rule_ord, k.rule, priority, (SELECT count(*) FROM capped_hits c WHERE c.rule = k.rule) AS violations, (SELECT count(*) FROM capped_hits c WHERE c.rule = k.rule) = 0 AS passed FROM (VALUES {_reg}) AS k(o, rule, priority)"
+CHECKS["rule_summary"] = f"SELECT CAST(o AS BIGINT) AS rule_ord, k.rule, priority, (SELECT count(*) FROM all_hits c WHERE c.rule = k.rule) AS violations, (SELECT count(*) FROM all_hits c WHERE c.rule = k.rule) = 0 AS passed FROM (VALUES {_reg}) AS k(o, rule, priority)"
 
 # --- report tables -------------------------------------------------------------------------------------
 CHECKS["totals"] = (
@@ -607,8 +603,8 @@ CHECKS["totals"] = (
 )
 CHECKS["service_summary"] = "SELECT * FROM summaries"
 CHECKS["service_order"] = (
-    "SELECT service, total_lines, contains(lower(service), 'gateway') OR contains(lower(service), 'api-gw') OR lower(service) = 'api' AS is_gateway, "
-    "lower(service) IN ('proto', 'protobuf', 'protos') OR starts_with(lower(service), 'proto-') OR ends_with(lower(service), '-proto') AS is_proto FROM summaries"
+    "SELECT *, row_number() OVER (ORDER BY is_gateway DESC, is_proto DESC, total_lines DESC, service) AS place FROM (SELECT service, total_lines, contains(lower(service), 'gateway') OR contains(lower(service), 'api-gw') OR lower(service) = 'api' AS is_gateway, "
+    "lower(service) IN ('proto', 'protobuf', 'protos') OR starts_with(lower(service), 'proto-') OR ends_with(lower(service), '-proto') AS is_proto FROM summaries) x"
 )
 CHECKS["foreign_language_lines"] = "SELECT language, CAST(sum(line_count) AS BIGINT) AS lines FROM foreigns GROUP BY language"
 CHECKS["layer_of_file"] = "SELECT id, layer FROM layers"

@@ -22,7 +22,7 @@ _written: dict[tuple, tuple] = {}
 
 
 class Codebase:
-    """Lazily built DataFrames; every property is a plan, nothing is computed here."""
+    """Lazily built DataFrames. Stand-ins and results that several queries share are written when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -195,10 +195,9 @@ class Codebase:
         return self.table("pages").select(F.concat(F.lit("/p"), F.col("page_id").cast("string")).alias("src"), F.explode(hrefs).alias("dst"))
 
     @cached_property
-    def degree_scores(self) -> DataFrame:
-        """A cheap file score for the declaration graph queries: in-degree, proto files somewhat higher."""
-        extra = F.when(F.col("id").endswith(".proto"), 5).otherwise(0)
-        return graph.degrees(self.vertices, self.edges).select("id", ((F.col("in_degree") + extra) / 10_000.0).alias("score"))
+    def scores(self) -> DataFrame:
+        """PageRank of the files."""
+        return self.stage("scores", lambda: graph.pagerank(self.vertices, self.edges))
 
     # history -------------------------------------------------------------------------------------
     @cached_property
@@ -250,7 +249,7 @@ class Codebase:
     def new_nodes(self) -> DataFrame:
         big = self.with_id(extract.big_functions(self.extents))
         big = big.select("id", "service", (F.col("start_line") * 4).alias("pos"), "name")
-        return declgraph.decl_nodes(self.declarations, big, self.degree_scores)
+        return declgraph.decl_nodes(self.declarations, big, self.scores)
 
     @cached_property
     def nodes(self) -> DataFrame:

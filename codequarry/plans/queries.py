@@ -188,7 +188,6 @@ query("vertices")(lambda c: c.vertices)
 query("name_map")(lambda c: graph.name_map(c.file_ids).select("name", "id"))
 query("import_edges")(lambda c: graph.import_edges(c.file_ids, c.imports))
 query("type_ref_edges")(lambda c: graph.type_ref_edges(c.file_ids, c.id_lines, c.declarations))
-query("type_ref_edges_first_500")(lambda c: graph.type_ref_edges(c.file_ids, c.id_lines, c.declarations, decl_cap=500))
 
 
 @query("type_ref_words")
@@ -220,7 +219,7 @@ def _pagerank(c: Codebase) -> DataFrame:
 
 @query("top_hotspots")
 def _hotspots(c: Codebase) -> DataFrame:
-    best = graph.top_hotspots(graph.pagerank(c.vertices, c.edges), 30)
+    best = graph.top_hotspots(c.scores, 30)
     return best.select("id", F.round("score", 9).alias("score"))
 
 
@@ -228,7 +227,7 @@ def _hotspots(c: Codebase) -> DataFrame:
 def _hot_zones(c: Codebase) -> DataFrame:
     counts = c.declarations.groupBy("id").agg(F.count(F.lit(1)).alias("declaration_count"))
     files = c.sizes.select("id", "service", "line_count").join(counts, "id", "left")
-    rows = graph.hot_zones(graph.pagerank(c.vertices, c.edges), files)
+    rows = graph.hot_zones(c.scores, files)
     return rows.select("id", "display_dir", "display_file", F.round("score", 9).alias("score"),
                        *big("line_count", "declaration_count"), "service")
 
@@ -336,14 +335,14 @@ for _r in rules.RULES:
 
 @query("run_rules")
 def _run_rules(c: Codebase) -> DataFrame:
-    return rules.run_rules(c.lines).select("rule", *big("position"), "display_path", *big("line_no"), "snippet")
+    return rules.run_rules(c.lines).select("rule", "display_path", *big("line_no"), "snippet")
 
 
 @query("violation_authors")
 def _violation_authors(c: Codebase) -> DataFrame:
-    authors = c.view("code_lines").select(*FILE, "line_no", "author").where("line_no % 5 <> 0")
+    authors = c.view("code_lines").select(*FILE, "line_no", "author")
     rows = rules.violation_authors(rules.run_rules(c.lines), authors)
-    return rows.select("rule", *big("position"), *FILE, *big("line_no"), "author")
+    return rows.select("rule", *FILE, *big("line_no"), "author")
 
 
 query("rule_summary")(
@@ -358,7 +357,7 @@ query("totals")(
     )
 )
 query("service_summary")(lambda c: c.summary.select("service", *big("files", "total_lines", "declarations", *_KIND_COLS)))
-query("service_order")(lambda c: marts.service_rank(marts.service_order(c.summary)).select("service", *big("total_lines"), "is_gateway", "is_proto"))
+query("service_order")(lambda c: marts.service_order(c.summary).select("service", *big("total_lines", "place"), "is_gateway", "is_proto"))
 query("foreign_language_lines")(lambda c: marts.foreign_language_lines(c.foreign))
 query("layer_of_file")(
     lambda c: marts.layer_of_file(
