@@ -13,8 +13,13 @@ from codequarry.sources.store import settle
 
 
 def default_branch(branches: DataFrame) -> DataFrame:
-    """``main``, else ``master``, else HEAD per repository, with its tip."""
-    rank = F.when(F.col("name") == "main", 0).when(F.col("name") == "master", 1).when(F.col("name") == "HEAD", 2)
+    """``main``, else ``master``, else HEAD per repository, with its tip.
+
+    HEAD is the row of that name or, as branch listings don't have one, the row marked ``is_head``.
+    """
+    head = F.col("name") == "HEAD"
+    head = head | F.col("is_head") if "is_head" in branches.columns else head
+    rank = F.when(F.col("name") == "main", 0).when(F.col("name") == "master", 1).when(head, 2)
     known = branches.withColumn("_r", rank)
     return known.groupBy("repo").agg(
         F.coalesce(F.min_by(F.when(F.col("_r") < 2, F.col("name")), "_r"), F.lit("HEAD")).alias("main_branch"),

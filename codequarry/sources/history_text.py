@@ -10,6 +10,9 @@ from codequarry.functions.scan import AUTO, fit_chunks, running
 
 COMMIT_MARK = "__COMMIT__\n"
 AUTHOR_MARK = "__AUTHOR__\n"
+#: A log export whose records can't be confused with their content: record, field and message ends are control characters.
+#: ``git log --topo-order --name-only --format='%x1e%H%x1f%P%x1f%an%x1f%at%x1f%B%x1d'``
+RECORD_MARK = "\x1e"
 
 
 def read_blocks(spark: SparkSession, path: str, mark: str) -> DataFrame:
@@ -38,6 +41,55 @@ def ingest_commit_log(blocks: DataFrame) -> DataFrame:
     )
 
 
+def ingest_commits(blocks: DataFrame) -> DataFrame:
+    """``block`` = one record of the ``RECORD_MARK`` export, ``seq`` its place in the log: the commits table.
+
+    Yields the other columns of ``blocks`` plus hash, parents, author, ts, subject (the message's first line),
+    message, log_seq and ``paths``, the touched files (none for a commit that touches none). Records without
+    all five fields are no commits and drop out; a time that is no number is 0.
+    """
+    keys = [c for c in blocks.columns if c not in ("block", "seq")]
+    cell = F.split("block", "\x1f", 5)
+    rows = blocks.where(F.size(cell) == 5).select(*keys, F.col("seq").alias("log_seq"), cell.alias("_c"))
+    rest = F.split(F.get("_c", F.lit(4)), "\x1d", 2)
+    message = text.strip(F.get(rest, F.lit(0)))
+    paths = F.filter(F.transform(F.split(F.coalesce(F.get(rest, F.lit(1)), F.lit("")), "\n"), text.strip), lambda x: x != "")
+    return rows.select(
+        *keys,
+        text.strip(F.get("_c", F.lit(0))).alias("hash"),
+        F.filter(F.split(F.get("_c", F.lit(1)), " "), lambda x: x != "").alias("parents"),
+        F.get("_c", F.lit(2)).alias("author"),
+        F.coalesce(text.strip(F.get("_c", F.lit(3))).try_cast("bigint"), F.lit(0)).alias("ts"),
+        F.get(F.split(message, "\n", 2), F.lit(0)).alias("subject"),
+        message.alias("message"),
+        "log_seq",
+        paths.alias("paths"),
+    )
+
+
+def commit_paths(commits: DataFrame) -> DataFrame:
+    """repo, hash, path: one row per touched file of ``ingest_commits``."""
+    return commits.select("repo", "hash", F.explode("paths").alias("path"))
+
+
+def ingest_heads(lines: DataFrame) -> DataFrame:
+    """``mark<TAB>name<TAB>epoch<TAB>hash`` lines: name, ts, tip, is_head; the other columns are kept.
+
+    ``git for-each-ref refs/heads --format='%(HEAD)%09%(refname:short)%09%(committerdate:unix)%09%(objectname)'``;
+    the mark is ``*`` for the branch that HEAD points to, whatever its name.
+    """
+    keys = [c for c in lines.columns if c != "text"]
+    cell = F.split("text", "\t", 4)
+    rows = lines.where(F.size(cell) == 4).select(
+        *keys,
+        text.strip(F.get(cell, F.lit(1))).alias("name"),
+        F.coalesce(text.strip(F.get(cell, F.lit(2))).try_cast("bigint"), F.lit(0)).alias("ts"),
+        text.strip(F.get(cell, F.lit(3))).alias("tip"),
+        (text.strip(F.get(cell, F.lit(0))) == "*").alias("is_head"),
+    )
+    return rows.where("name <> '' AND tip <> ''")
+
+
 def ingest_numstat(blocks: DataFrame) -> DataFrame:
     """``block`` = author line, then ``added deleted path`` lines; binary files have no number and drop out."""
     keys = [c for c in blocks.columns if c != "block"]

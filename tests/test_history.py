@@ -98,6 +98,33 @@ def test_log_files(spark, tmp_path):
     assert {tuple(r) for r in ht.ingest_branches(refs).collect()} == {("r", "main", 5), ("r", "a/b", 7)}
 
 
+def test_commit_export_and_heads(spark, tmp_path):
+    records = [
+        "aa\x1fbb cc\x1fAnn\x1f100\x1fMerge: x\n\nbody\tline\n\x1d\n",
+        "bb\x1fcc\x1fBob B\x1f90\x1ffix: __COMMIT__\n\x1d\n\na.go\nd e/b.go\n",
+        "cc\x1f\x1f\x1fno\x1f\x1d",
+        "broken",
+    ]
+    (tmp_path / "log").write_text("".join("\x1e" + r for r in records))
+    blocks = ht.read_blocks(spark, str(tmp_path / "log"), ht.RECORD_MARK).withColumn("seq", F.monotonically_increasing_id()).withColumn("repo", F.lit("r"))
+    got = ht.ingest_commits(blocks)
+    want = {
+        ("aa", ("bb", "cc"), "Ann", 100, "Merge: x", "Merge: x\n\nbody\tline", ()),
+        ("bb", ("cc",), "Bob B", 90, "fix: __COMMIT__", "fix: __COMMIT__", ("a.go", "d e/b.go")),
+        ("cc", (), "", 0, "", "", ()),
+    }
+    rows = got.collect()
+    assert {(r["hash"], tuple(r["parents"]), r["author"], r["ts"], r["subject"], r["message"], tuple(r["paths"])) for r in rows} == want
+    assert [r["hash"] for r in sorted(rows, key=lambda r: r["log_seq"])] == ["aa", "bb", "cc"]
+    assert {tuple(r) for r in ht.commit_paths(got).collect()} == {("r", "bb", "a.go"), ("r", "bb", "d e/b.go")}
+    lines = [("r", "*\ttrunk\t5\taa"), ("r", " \tx/y\t7\tbb"), ("q", " \tmaster\t1\tcc"), ("q", "*\tdev\tz\tdd"), ("q", "bad")]
+    heads = ht.ingest_heads(spark.createDataFrame(lines, "repo string, text string"))
+    assert {tuple(r) for r in heads.collect()} == {("r", "trunk", 5, "aa", True), ("r", "x/y", 7, "bb", False), ("q", "master", 1, "cc", False), ("q", "dev", 0, "dd", True)}
+    assert {tuple(r) for r in br.default_branch(heads).collect()} == {("r", "HEAD", "aa"), ("q", "master", "cc")}
+    on_main = br.main_commits(got, heads.where("repo = 'r'"))
+    assert {r["hash"] for r in on_main.collect()} == {"aa", "bb", "cc"}
+
+
 def test_files_and_sink(spark, tmp_path):
     (tmp_path / "w" / "a").mkdir(parents=True)
     (tmp_path / "w" / "a" / "x.go").write_text("package a\n")
