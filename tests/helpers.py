@@ -1,11 +1,10 @@
-"""Sequential restatements of the stateful jobs, and random inputs for them."""
+"""Random inputs for the stateful jobs."""
 
 from __future__ import annotations
 
 import random
 import re
-
-from codequarry.functions import fixed
+from itertools import accumulate
 
 LINES_SCHEMA = "repo string, path string, line_no int, text string"
 
@@ -40,147 +39,6 @@ def rx(pattern: str, s: str):
     return re.search(pattern, s, re.ASCII)
 
 
-class GoReader:
-    """Walks a file once and records what the extraction jobs should find."""
-
-    def __init__(self, lines: list[str]):
-        self.imports, self.decls, self.spans, self.description = [], [], [], ""
-        self.todo = self.fixme = 0
-        block, run, open_at = False, [], None
-        for no, raw in enumerate(lines, 1):
-            t = raw.strip()
-            if t.startswith("import ("):
-                block = True
-                continue
-            if block:
-                if t == ")":
-                    block = False
-                elif m := rx(fixed.GO_IMPORT_QUOTED, t):
-                    self.imports.append((no, m[1]))
-                continue
-            if m := rx(fixed.GO_IMPORT_SINGLE, t):
-                self.imports.append((no, m[1]))
-                continue
-            if m := rx(fixed.GO_TYPE, t):
-                self.decls.append((no, m[1], m[2]))
-                self.description = self.description or " ".join(run)
-                run = []
-            if m := rx(fixed.GO_FUNC, t):
-                self.decls.append((no, m[1], "func"))
-                open_at = open_at or [m[1], no, 0]
-            if open_at:
-                open_at[2] += t.count("{") - t.count("}")
-                if open_at[2] <= 0 and "}" in t:
-                    self.spans.append((open_at[0], open_at[1], no))
-                    open_at = None
-            if m := rx(fixed.GO_COMMENT, t):
-                run.append(m[1])
-            elif t:
-                run = []
-            self.todo += "// TODO" in t or "//TODO" in t
-            self.fixme += "// FIXME" in t or "//FIXME" in t
-
-
-def indent_of(s: str) -> int:
-    lead = s[: len(s) - len(s.lstrip("\t "))]
-    return sum(4 if c == "\t" else 1 for c in lead)
-
-
-def is_note(s: str) -> bool:
-    return s.strip().startswith("//")
-
-
-def brute_hits(rule: str, path: str, lines: list[str]) -> set[tuple[int, int]]:
-    """(reported line, trigger line) pairs of a stateful rule, read line by line."""
-    n, hits = len(lines), set()
-
-    def ahead(i: int, lo: int, hi: int):
-        return range(i + lo, min(n, i + hi + 1))
-
-    if rule == "rule_unclosed_body":
-        for i, s in enumerate(lines):
-            if ":=" in s and rx(fixed.HTTP_CALL, s) and not any(rx(fixed.BODY_CLOSE, lines[j]) for j in ahead(i, 0, 5)):
-                hits.add((i + 1, i + 1))
-    elif rule == "rule_loop_var_goroutine":
-        def rebinds(s):
-            halves = s.split(":=")
-            return len(halves) == 2 and rx(fixed.ASSIGN_WORDS, s) and halves[0].strip() == halves[1].strip()
-
-        for i, s in enumerate(lines):
-            if rx(fixed.FOR_RANGE, s):
-                launch = next((j for j in ahead(i, 1, 19) if rx(fixed.GO_FUNC_START, lines[j])), None)
-                if launch is not None and not any(rebinds(lines[k]) for k in ahead(launch, 0, 9)):
-                    hits.add((launch + 1, i + 1))
-    elif rule == "rule_slice_prealloc":
-        for i, s in enumerate(lines):
-            if rx(fixed.MAKE_EMPTY_SLICE, s) or rx(fixed.VAR_SLICE, s):
-                window = [lines[j] for j in ahead(i, 1, 29)]
-                loop = next((k for k, x in enumerate(window) if rx(fixed.FOR_LINE, x)), None)
-                if loop is not None and any(rx(fixed.APPEND_CALL, x) for x in window[loop:]):
-                    hits.add((i + 1, i + 1))
-    elif rule == "rule_test_error_check":
-        for i, s in enumerate(lines):
-            if path.endswith("_test.go") and rx(fixed.ERR_DECLARED, s):
-                if not any(rx(fixed.TEST_ERR_CHECK, lines[j]) for j in ahead(i, 1, 3)):
-                    hits.add((i + 1, i + 1))
-    elif rule == "rule_err_shadowing":
-        for i, s in enumerate(lines):
-            if not rx(fixed.ERR_DECLARED, s):
-                continue
-            for j in ahead(i, 1, 29):
-                x = lines[j]
-                if not x.strip() or is_note(x):
-                    continue
-                if indent_of(x) <= indent_of(s):
-                    break
-                if rx(fixed.ERR_DECLARED, x):
-                    hits.add((j + 1, i + 1))
-                    break
-    elif rule in ("rule_defer_in_loop", "rule_bytes_in_loop"):
-        depth = 0
-        for i, s in enumerate(lines):
-            if is_note(s):
-                continue
-            net = s.count("}") - s.count("{")
-            loop = bool(rx(fixed.FOR_LINE, s))
-            if rule == "rule_defer_in_loop":
-                depth += loop and net < 0
-                if depth and rx(fixed.DEFER_LINE, s):
-                    hits.add((i + 1, i + 1))
-                depth -= bool(depth and net > 0)
-            else:
-                depth += loop
-                if depth and "[]byte(" in s:
-                    hits.add((i + 1, i + 1))
-                depth = max(0, depth - max(net, 0))
-    elif rule in ("rule_rows_err", "rule_rows_close"):
-        def good(s):
-            return "rows.Err()" in s if rule == "rule_rows_err" else rx(fixed.ROWS_CLOSE, s)
-
-        state: dict[int, list[bool]] = {}
-        cur, depth = None, 0
-        for i, s in enumerate(lines):
-            net = s.count("{") - s.count("}")
-            if "func " in s and net > 0:
-                cur, depth = i, 1
-                state[i] = [False, False]
-            elif cur is not None:
-                state[cur][0] |= ".Next()" in s
-                state[cur][1] |= bool(good(s))
-                depth += net
-                cur = cur if depth > 0 else None
-        hits = {(i + 1, i + 1) for i, (nxt, ok) in state.items() if nxt and not ok}
-    elif rule == "rule_copy_mutex":
-        locked, cur, depth = set(), None, 0
-        for s in lines:
-            if m := rx(fixed.STRUCT_START, s.strip()):
-                cur, depth = m[1], 1
-            elif depth > 0:
-                depth += s.count("{") - s.count("}")
-                if rx(fixed.MUTEX_FIELD, s):
-                    locked.add(cur)
-        for i, s in enumerate(lines):
-            for name in locked:
-                if "func " in s and rx(rf"[^*\w]{name}[\s,)]", s) and not rx(rf"\*{name}\b", s):
-                    hits.add((i + 1, i + 1))
-    return hits
+def balance(lines: list[str]) -> list[int]:
+    """Opened less closed braces up to and including each line."""
+    return list(accumulate(line.count("{") - line.count("}") for line in lines))
