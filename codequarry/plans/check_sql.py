@@ -639,6 +639,15 @@ _FROM = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]\w*(?:\s+[a-z_]\w*)?(?:,\s*[a-z_]\
 _RECURSIVE = ("on_main", "old_side", "new_side")
 
 
+def _all_marts() -> str:
+    from codequarry.plans.queries import MARTS
+
+    return " UNION ALL ".join(f"SELECT '{n}' AS mart, '2024-01-01' AS run_date, count(*) AS rows FROM ({CHECKS[n]}) x GROUP BY ALL" for n in MARTS)
+
+
+CHECKS["write_all_marts"] = _all_marts()
+
+
 def sql(name: str) -> str:
     """The full statement of a check: the building blocks it needs, then its body."""
     order: list[str] = []

@@ -415,3 +415,24 @@ def _health(c: Codebase) -> DataFrame:
 
 
 query("service_grid")(lambda c: marts.service_grid(c.summary, c.foreign))
+
+#: The report's tables.
+MARTS = (
+    "totals", "service_summary", "service_order", "foreign_language_lines", "layer_of_file", "layer_rollup", "service_penetration", "todo_density",
+    "longest_functions", "file_inventory", "team_map", "churn_display", "semantic_standards", "branch_health", "service_grid",
+)
+
+
+@query("write_all_marts")
+def _write_all(c: Codebase) -> DataFrame:
+    """Write every mart under its run date; the result is what a reader of the written tables finds: rows per mart."""
+    tables = {name: QUERIES[name](c.spark, c.folder) for name in MARTS}
+    paths = store.write_marts(tables, store.new_table_path(c.spark, "marts"), "2024-01-01")
+    counts = [
+        c.spark.read.parquet(path).groupBy(F.lit(name).alias("mart"), F.col("run_date").cast("string").alias("run_date")).agg(F.count(F.lit(1)).alias("rows"))
+        for name, path in paths.items()
+    ]
+    out = counts[0]
+    for other in counts[1:]:
+        out = out.unionByName(other)
+    return out

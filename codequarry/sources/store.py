@@ -53,3 +53,8 @@ def write_mart(df: DataFrame, path: str, run_date: str, partition_by: tuple[str,
         .parquet(path)
     )
     return path
+
+
+def write_marts(marts: dict[str, DataFrame], folder: str, run_date: str) -> dict[str, str]:
+    """Write each mart to a folder of its name under ``folder``; its path by name."""
+    return {name: write_mart(df, f"{folder.rstrip('/')}/{name}", run_date) for name, df in marts.items()}

@@ -168,6 +168,15 @@ def test_whole_word(spark, source, name, found):
     assert row["a"] == row["b"] == found
 
 
+def test_line_counts(spark):
+    rows = [("r", "a.py", "x\ny\nz"), ("r", "b.py", "x\ny\r\nz\n"), ("r", "empty.py", ""), ("r", "gone.py", None), ("r", "nl.py", "\n\n")]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    got = {r["path"]: r["line_count"] for r in extract.line_counts(files).collect()}
+    assert got == {"a.py": 3, "b.py": 3, "empty.py": 0, "gone.py": 0, "nl.py": 2}
+    lines = extract.explode_lines(files.where("content is not null")).groupBy("path").count().collect()
+    assert {r["path"]: r["count"] for r in lines} == {k: v for k, v in got.items() if v}
+
+
 def test_scalars(spark):
     def one(col):
         return spark.range(1).select(col.alias("v")).first()["v"]

@@ -138,6 +138,8 @@ def test_files_and_sink(spark, tmp_path):
         store.write_mart(spark.range(n), out, day)
     got = {str(r["run_date"]): r["count"] for r in spark.read.parquet(out).groupBy("run_date").count().collect()}
     assert got == {"2024-01-01": 1, "2024-01-02": 2}
+    paths = store.write_marts({"one": spark.range(2), "two": spark.range(3)}, str(tmp_path / "marts"), "2024-02-01")
+    assert {n: spark.read.parquet(p).where("run_date = '2024-02-01'").count() for n, p in paths.items()} == {"one": 2, "two": 3}
 
 
 def test_commit_messages_and_versions(spark):
