@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm import labelled
 from codequarry.llm.html_blocks import Block, blocks
 
 SAMPLE_PAGES = 200
@@ -253,8 +254,9 @@ def layouts(passages: list[str], count: int = LAYOUT_PAGES, seed: int = SEED) ->
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Field:
     """A field fitted on the driver, on a sample of pages (by the order of a hash) and on layouts filled with their passages."""
-    sample = pages.where("html is not null").orderBy(F.xxhash64(F.lit("sample"), "html")).limit(sample_pages)
-    short = sample.select(F.substring("html", 1, 30_000).alias("html")).collect()  # the driver reads at most so many characters of a sampled page
+    # the driver reads at most so many characters of a sampled page
+    given = pages.where("html is not null").select("page_id", "url", F.substring("html", 1, 30_000).alias("html"))
+    short = labelled.lowest(given, F.xxhash64(F.lit("sample"), "page_id", "url", F.length("html")), sample_pages).collect()
     read = [blocks(r["html"]) for r in short]
     known = [(page, own) for page in read if page and (own := own_labels(page)) is not None]
     passages = [b.text for page, own in known for b, y in zip(page, own, strict=True) if y]
