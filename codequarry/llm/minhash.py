@@ -8,11 +8,13 @@ all coordinates.
 Signatures are cut into bands. With 40 bands of 5, a pair at similarity 0.8 shares no band once in 7 million
 times, one at 0.85 once in 10^10. Texts with the same shingle set are one class and represented by the smallest id.
 
-All representatives that share a band are compared, without forming all pairs of a bucket: in each round
-some members of every bucket are centres and are compared, on full shingle sets, with all members that are not
-yet connected to them; then they leave the bucket. The first round has one centre in each bucket, later ones up
-to 16. A bucket is done when all its members are connected or have been centres; so a large group of near copies
-takes one round, and no pair that shares a band and could still join two groups is left out.
+All representatives that share a band are compared on full shingle sets, unless they are connected already:
+in two rounds, members are compared with centres of their buckets, and components are found anew after each. In a
+bucket of up to 32 all members are centres; a larger one has one centre in the first round and four in the second,
+those with most links, such as the text that others were copied from. What is then not in one component is a
+large bucket with texts that lie apart: its members are dealt into tiles of bounded size, and each pair of tiles is
+compared as two matrices. No pairs are written out, and no pair that shares a band and could join two groups is left
+out. A bucket whose members all lie apart costs the square of its size in arithmetic, spread over tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,9 @@ from codequarry.sources.store import settle
 WORDS = 5
 BANDS, ROWS = 40, 5
 CIRCLE = 20
-CENTRES = 16
+SMALL = 32
+CENTRES = (1, 4)
+TILE_ROWS, TILE_SHINGLES = 1500, 300_000
 _STEP = 512
 
 
@@ -121,54 +126,109 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> D
     named = signed.where("doc_id is not null and digest is not null")
     classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"), F.count(F.lit(1)).alias("times"))
     classes = settle(classes.select("digest", F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), "r.bands", "times"), "classes")
-    copies = named.join(classes.where("times > 1").select("digest", "node"), "digest").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    own = named.join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a <> _last")
+    found = settle(own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "links")
 
     entries = classes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     shared = entries.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "value")
     active = settle(entries.join(shared, ["band", "value"]), "buckets")
-    found = copies.distinct()
-    if not active.isEmpty():
-        # texts of the candidates only; their sets are read by every round
-        wanted = active.select(F.col("node").alias("doc_id")).distinct()
-        near = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, own array<bigint>")
-        near = settle(near.where(F.size("own") > 0), "shingles")
-        tested = None
-        home = active.select("node", F.col("node").alias("component")).distinct()
-        centres = 1
-        while True:
-            placed = active.join(home, "node").withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(centres)))
-            split = placed.groupBy("band", "value").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-            placed = placed.join(split.where("_lo <> _hi").select("band", "value"), ["band", "value"])
-            placed = settle(placed, "buckets")
-            if placed.isEmpty():
-                break
-            middle = placed.groupBy("band", "value", "slot").agg(F.min(F.struct("node", "n", "component")).alias("m"))
-            middle = middle.select("band", "value", F.col("m.node").alias("a"), F.col("m.n").alias("na"), F.col("m.component").alias("ca"))
-            pairs = placed.join(middle, ["band", "value"]).where("node <> a and component <> ca")
-            pairs = pairs.where((F.col("n") * whole >= F.col("na") * part) & (F.col("na") * whole >= F.col("n") * part))
-            pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = settle(pairs, "pairs")
-            common = F.size(F.array_intersect("own_a", "own_b"))
-            union = F.size("own_a") + F.size("own_b") - common
-            links = pairs.join(near.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
-            links = links.join(near.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-            links = settle(links.where(common * whole >= union * part).select("a", "b"), "links")
-            found = links if tested is None else found.unionByName(links)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            done = middle.select("band", "value", F.col("a").alias("node")).distinct()
-            active = settle(placed.join(done, ["band", "value", "node"], "left_anti").select("node", "n", "band", "value"), "buckets")
-            reached = settle(components(found), "reached")
-            home = active.select("node").distinct().join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-            centres = CENTRES
-        found = found.unionByName(copies) if tested is not None else copies
-    reached = components(found)
-    out = signed.select("doc_id", "n_shingles").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # texts of the candidates only; their sets are read by every round
+    wanted = active.select(F.col("node").alias("doc_id")).distinct()
+    near = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, own array<bigint>")
+    near = settle(near.where(F.size("own") > 0), "shingles")
+    common = F.size(F.array_intersect("own_a", "own_b"))
+    union = F.size("own_a") + F.size("own_b") - common
+
+    reached = _reached(found)
+    for centres in CENTRES:
+        placed = _unsettled(active, reached)
+        slot = F.when(F.col("c") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(centres)))
+        placed = settle(placed.withColumn("slot", slot), "buckets")
+        best = F.max_by(F.struct("node", "n", "component"), F.struct("degree", -F.col("node")))
+        middle = placed.groupBy("band", "value", "slot").agg(best.alias("m"))
+        middle = middle.select("band", "value", F.col("m.node").alias("a"), F.col("m.n").alias("na"), F.col("m.component").alias("ca"))
+        pairs = placed.join(middle, ["band", "value"]).where("node <> a and component <> ca")
+        pairs = pairs.where((F.col("n") * whole >= F.col("na") * part) & (F.col("na") * whole >= F.col("n") * part))
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        links = pairs.join(near.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
+        links = links.join(near.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
+        links = settle(links.where(common * whole >= union * part).select("a", "b"), "links")
+        found = found.unionByName(links)
+        reached = _reached(found)
+        active = placed.where(F.col("c") > SMALL).select("node", "n", "band", "value")  # small buckets are done
+
+    left = _unsettled(active, reached).select("band", "value", "node", "component", F.greatest(F.ceil(F.col("c") / TILE_ROWS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    left = left.join(near, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    left = left.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return _tile_links(rows, part, whole)
+
+    rest = left.groupBy("band", "value", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
+    reached = _reached(found.unionByName(settle(rest, "links")))
+    homes = classes.select("digest", "node").join(reached, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(homes, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _unsettled(active: DataFrame, reached: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, with their component and number of links."""
+    placed = active.join(reached, "node", "left").select("band", "value", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    split = placed.groupBy("band", "value").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
+    return placed.join(split.where("_lo <> _hi").select("band", "value", "c", "total"), ["band", "value"])
+
+
+def _tile_links(rows: pd.DataFrame, part: int, whole: int) -> pd.DataFrame:
+    """Links that join components, between the two tiles of a bucket in ``rows`` (or within one tile).
+
+    Sizes of all intersections come from products of membership matrices, some columns at a time; a shingle of
+    one member only adds nothing and is left out.
+    """
+    nodes, homes = rows["node"].to_numpy(), rows["component"].to_numpy()
+    sizes = np.array([len(x) for x in rows["own"]])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    _, column, times = np.unique(np.concatenate(rows["own"].to_numpy()), return_inverse=True, return_counts=True)
+    kept = times[column] > 1
+    owner, column = owner[kept], (np.cumsum(times > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    first = rows["tile"].to_numpy() == rows["low"].to_numpy()
+    one = bool((rows["low"] == rows["high"]).all())
+    i, j = np.flatnonzero(first), np.flatnonzero(first if one else ~first)
+    common = np.zeros((len(i), len(j)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        a, b = np.searchsorted(column, [lo, lo + 1024])
+        members = np.zeros((len(rows), 1024), np.float32)
+        members[owner[a:b], column[a:b] - lo] = 1
+        common += members[i] @ members[j].T
+    union = sizes[i][:, None] + sizes[j] - common
+    near = (common * whole >= union * part) & (homes[i][:, None] != homes[j])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for x, y in zip(*np.nonzero(near), strict=True):
+        p, q = root(int(homes[i[x]])), root(int(homes[j[y]]))
+        if p != q:
+            parent[p] = q
+            found.append((int(nodes[i[x]]), int(nodes[j[y]])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _reached(found: DataFrame) -> DataFrame:
+    """``node, component, degree`` of all nodes that have links."""
+    degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return settle(components(found).join(degrees, "node"), "reached")
+
+
 def without_near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """All columns of the documents that are kept: of each group the one with the smallest id.
 
