@@ -15,7 +15,6 @@ QUERIES = {
     "op10_mixing": mixing.query,
 }
 ORACLE_SQL = {
-    "op5_html_text": html_crf.query,
     "op6_line_dedup": linededup.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
