@@ -19,6 +19,7 @@ there, and each distinct stretch is encoded once for as long as it stays in a bo
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import pickle
 import re
@@ -88,6 +89,7 @@ class Codec:
             self.cut = re.compile("(?s).+")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.written = [self._bytes(p, kind) for p, _, kind in pieces]
+        codecs.register_error("each byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
         self._forget()
 
     def _forget(self) -> None:
@@ -233,11 +235,12 @@ class Codec:
         return out, ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
     def decode(self, numbers: list[int]) -> str:
-        """The text that the numbers stand for; bytes that are no UTF-8 give the replacement character."""
+        """The text that the numbers stand for; each byte that is in no UTF-8 character gives the replacement character."""
         raw = b"".join(map(self.written.__getitem__, numbers))
-        if self.prefix and raw.startswith(b" "):
+        first = next((self.piece[i] for i in numbers if self.written[i]), "")
+        if self.prefix and first.startswith(MARK):
             raw = raw[1:]
-        return raw.decode(errors="replace")
+        return raw.decode(errors="each byte")
 
 
 def codec(tables: dict) -> Codec:
