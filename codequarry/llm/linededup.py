@@ -14,6 +14,10 @@ windows, and a run that occurs twice has the same windows both times. Steps:
 No pairs of occurrences are formed: an occurrence meets one row, the first of its kind, so a passage in a
 third of all documents costs a row for each of its occurrences. Aggregates combine before their shuffles, and
 joins on a frequent window are plain equi-joins, which adaptive execution splits.
+
+With ``short_words``, a line of at least that many words is a window by itself too, so hot lines below ``MIN_WORDS``
+go whatever stands beside them. The pipeline's stage uses ``SHORT_WORDS``; the query doesn't, as its check SQL has no
+such windows.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from codequarry.llm.mixing import word_count
 from codequarry.sources.store import settle
 
 MIN_WORDS = 10
+SHORT_WORDS = 3  # a line of one or two words ('Les.', 'Read more') is no passage by itself
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -33,11 +38,12 @@ def _text_hash(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_words: int | None = None) -> DataFrame:
     """``doc_id, text`` to ``doc_id, hash, lines``: for each document with deletions, the numbers (from 0) of its deleted lines.
 
     Lines are compared without outer white space; lines without words are passed over, but go if they lie
-    within a deleted run. Documents are ordered by id (null first), then by the hash of their text.
+    within a deleted run. Documents are ordered by id (null first), then by the hash of their text. With
+    ``short_words``, whole lines from that many words up to ``min_words`` are windows too.
     """
     bare = F.transform(F.split(F.col("text"), "\n", -1), lambda s: F.regexp_replace(s, _TRIM, ""))
     facts = F.transform("_bare", lambda s, i: F.struct(i.alias("pos"), F.xxhash64(s).alias("hash"), F.xxhash64(F.lit(1), s).alias("more"), word_count(s).cast("int").alias("words")))
@@ -59,8 +65,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     whole_ahead = F.when(F.col("total") - F.col("begin") >= min_words, window("ahead", ahead))
     # a line that is long enough by itself is one window, not two
     whole_back = F.when((F.col("end") >= min_words) & (F.col("words") < min_words), window("back", back))
-    windows = line.select("doc_id", "_text", whole_ahead.alias("ahead"), whole_back.alias("back"))
-    windows = windows.select("doc_id", "_text", F.explode(F.array("ahead", "back")).alias("w")).where("w is not null")
+    kinds = [whole_ahead.alias("ahead"), whole_back.alias("back")]
+    if short_words is not None:
+        alone = F.array(F.struct("hash", "more"))
+        single = F.struct(F.lit("line").alias("way"), F.col("pos").alias("first"), F.col("pos").alias("last"), F.struct("hash", "pos").alias("least"), alone.alias("content"))
+        kinds.append(F.when((F.col("words") >= short_words) & (F.col("words") < min_words), single).alias("single"))
+    windows = line.select("doc_id", "_text", *kinds)
+    windows = windows.select("doc_id", "_text", F.explode(F.array(*windows.columns[2:])).alias("w")).where("w is not null")
     windows = windows.select(
         "doc_id", "_text", "w.first", "w.last", F.col("w.least.hash").alias("print"), F.col("w.least.pos").alias("print_pos"),
         F.xxhash64("w.way", "w.content").alias("same"), F.xxhash64(F.lit(1), "w.way", "w.content").alias("same_too"),
@@ -77,7 +88,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.groupBy("doc_id", F.col("_text").alias("hash")).agg(F.array_sort(F.collect_set("pos")).alias("lines"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_words: int | None = None) -> DataFrame:
     """All columns and rows of ``docs`` with later repeated runs deleted from ``text``, and ``n_chars`` (if there) set anew.
 
     Null and empty texts stay as they are, and so do all documents without deletions, byte for byte. A document
@@ -85,7 +96,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     get the same result. Columns of any other name are carried along.
     """
     packed = docs.select(F.struct("*").alias("_row"))
-    gone = repeated_lines(docs.select("doc_id", "text"), min_words)
+    gone = repeated_lines(docs.select("doc_id", "text"), min_words, short_words)
     both = packed.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("doc_id")) & (_text_hash(F.col("_row.text")) == F.col("hash")), "left")
     # maps of line numbers keep the filter linear in the number of lines
     hit = F.map_from_arrays("lines", F.transform("lines", lambda _: F.lit(True)))

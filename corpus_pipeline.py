@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, without runs of lines that an earlier place has too."""
-    return linededup.drop_repeated_lines(docs)
+    """All documents, without runs of lines, and single lines of three words or more, that an earlier place has too."""
+    return linededup.drop_repeated_lines(docs, short_words=linededup.SHORT_WORDS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

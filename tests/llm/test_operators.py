@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codequarry.llm import components, embedding_dedup, html_blocks, html_crf, linededup, minhash, mixing, prefix, quality, sharding, topk, toxicity, wordscan
 
 import pyarrow as pa
@@ -317,6 +318,19 @@ def test_long_passage_stays_once(spark):
     assert got[0] == rows[0][1] and all(got[i] == f"own {i}\nend {i}" for i in range(1, 5))
 
 
+def test_hot_short_lines_stay_once(spark):
+    rng = random.Random(3)
+    hot = "Subscribe to our free letter now"
+    rows = [(i, "\n".join([hot, prose(rng, 12), "Les.", hot, prose(rng, 4)])) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in linededup.drop_repeated_lines(docs, short_words=linededup.SHORT_WORDS).collect()}
+    for i, text in rows:
+        lines = text.split("\n")
+        assert got[i] == [x for n, x in enumerate(lines) if x != hot or (i, n) == (0, 0)]
+    staged = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert sum(r["text"].split("\n").count(hot) for r in staged.collect()) == 1
+
+
 # ---- shards and mixing
 
 
