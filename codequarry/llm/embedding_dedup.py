@@ -1,10 +1,11 @@
 """Embedding near-dedup by sorted projection passes.
 
-Vectors that are equal and share a label are one class, represented by the smallest id. In each of ``PASSES``
-passes every representative gets a code of ``BITS`` signs of random projections; representatives are ordered by
-(label, code) and each is compared in double precision with the ``WINDOW`` ones before it. Neighbours in angle
-share long beginnings of their codes, so they meet in some pass even if others part them. Pairs found in any
-pass are united into components.
+Vectors that are equal and share a label are one class, represented by the smallest id. In each pass every
+representative gets a code of ``BITS`` signs of random projections of its difference from the mean of its label, so
+that the signs part a crowd of vectors that all point one way; representatives are ordered by (label, code) and each
+is compared in double precision with the ``WINDOW`` ones before it. Neighbours share long beginnings of their codes,
+so they meet in some pass even if others part them. Pairs found in any pass are united into components. Rounds of
+``PASSES`` passes with new projections go on, over all rows, until a round unites nothing that was apart.
 
 The links of a vector are then counted exactly within its component: its members are dealt into tiles, and each pair
 of tiles is compared as two matrices, so no pair is written out and no task holds more than two tiles. Only a
@@ -54,9 +55,9 @@ def unit(lists: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def codes(vectors: np.ndarray) -> np.ndarray:
-    """For each vector a code for each pass (same for all vectors of a dimension)."""
-    planes = np.random.default_rng(SEED).normal(size=(PASSES * BITS, vectors.shape[1]))
+def codes(vectors: np.ndarray, turn: int = 0) -> np.ndarray:
+    """For each vector a code for each pass of a round (same for all vectors of a dimension)."""
+    planes = np.random.default_rng([SEED, turn]).normal(size=(PASSES * BITS, vectors.shape[1]))
     bits = (vectors @ planes.T > 0).reshape(len(vectors), PASSES, BITS)
     return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
@@ -65,15 +66,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = unit(batch.column(1))
         raw = [None if v is None else v.tobytes() for v in vectors]
-        signs: list = [None] * len(vectors)
-        for n in {len(v) for v in vectors if v is not None}:
-            at = [i for i, v in enumerate(vectors) if v is not None and len(v) == n]
-            for i, code in zip(at, codes(np.array([vectors[i] for i in at])), strict=True):
-                signs[i] = code
         digests = [None if r is None else hashlib.md5(r).digest() for r in raw]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(raw, pa.binary()), pa.array(digests, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
-            ["vec_id", "label", "unit", "digest", "codes"],
+            [batch.column(0), batch.column(2), pa.array(raw, pa.binary()), pa.array(digests, pa.binary())],
+            ["vec_id", "label", "unit", "digest"],
         )
 
 
@@ -81,6 +77,61 @@ def _matrix(raw) -> np.ndarray:
     return np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``group, unit`` to the sum of each batch's vectors of a group, a row for each dimension."""
+    for batch in batches:
+        for group, rows in batch.to_pandas().groupby("group", sort=False):
+            total = _matrix(rows["unit"].to_numpy()).sum(0)
+            columns = [pa.array([group] * len(total)), pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), len(rows)))]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "at", "total", "n"])
+
+
+def means(classes: DataFrame) -> DataFrame:
+    """``group, mean``: the mean vector of each group, rounded so that it does not depend on the order of sums."""
+    summed = classes.select("group", "unit").mapInArrow(_sums, "group string, at bigint, total double, n bigint")
+    each = summed.groupBy("group", "at").agg(F.round(F.sum("total") / F.sum("n"), 9).alias("mean"))
+    each = each.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("mean"))
+    return each.select("group", F.transform("mean", lambda x: x["mean"]).alias("mean"))
+
+
+def _coded(turn: int):
+    """Rows ``group, node, unit, mean`` to one with a code for each pass of the round."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            mean = batch.column(3)
+            flat, sizes = mean.flatten().to_numpy(), pa.compute.list_value_length(mean).to_numpy()
+            begin = np.cumsum(sizes) - sizes
+            signs: list = [None] * len(raw)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                off = _matrix([raw[i] for i in at]) - flat[begin[at][:, None] + np.arange(n)]
+                for i, code in zip(at, codes(off, turn), strict=True):
+                    signs[i] = code
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(signs, pa.list_(pa.int64()))], ["group", "node", "unit", "codes"])
+
+    return coded
+
+
+def linked(classes: DataFrame) -> DataFrame:
+    """``group, node, unit`` to ``node, component`` of all that have a link: rounds of passes until one unites nothing new."""
+    rows = settle(classes.select("group", "node", "unit").join(means(classes), "group"), "vector-centres")
+    reached, apart, turn = None, -1, 0
+    while True:
+        passes = rows.select("group", "node", "unit", "mean").mapInArrow(_coded(turn), "group string, node bigint, unit binary, codes array<bigint>")
+        passes = passes.select("node", "unit", F.posexplode("codes").alias("pass", "code"), "group").withColumn("group", F.concat_ws(":", "pass", "group"))
+        ordered = passes.repartitionByRange("group", "code", "node").sortWithinPartitions("group", "code", "node")
+        found = ordered.select("group", "node", "unit").mapInArrow(_windows, "a bigint, b bigint").distinct()
+        if reached is not None:
+            found = found.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        reached = settle(components(found), "vector-components")
+        united = reached.where("node <> component").count()  # each union makes one node more that is not the least of its component
+        if united == apart or united == 0:
+            return reached
+        apart, turn = united, turn + 1
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare each row with the ``WINDOW`` rows of its group before it; rows come in order. Emits a spanning forest of what is found."""
     tail: pd.DataFrame | None = None
@@ -149,15 +200,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     those of all its rows.
     """
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    read = settle(rows.mapInArrow(_read, "vec_id bigint, label string, unit binary, digest binary, codes array<bigint>"), "vectors")
+    read = settle(rows.mapInArrow(_read, "vec_id bigint, label string, unit binary, digest binary"), "vectors")
     valid = read.where("vec_id is not null and label is not null and unit is not null").withColumn("group", F.concat_ws(":", F.octet_length("unit"), "label"))
-    classes = valid.groupBy("group", "digest").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("times"), F.first("unit").alias("unit"), F.first("codes").alias("codes"))
+    classes = valid.groupBy("group", "digest").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("times"), F.first("unit").alias("unit"))
     classes = settle(classes, "vector-classes")
 
-    passes = classes.select("node", "unit", F.posexplode("codes").alias("pass", "code"), "group").withColumn("group", F.concat_ws(":", "pass", "group"))
-    ordered = passes.repartitionByRange("group", "code", "node").sortWithinPartitions("group", "code", "node")
-    found = ordered.select("group", "node", "unit").mapInArrow(_windows, "a bigint, b bigint").distinct()
-    reached = settle(components(found), "vector-components")
+    reached = linked(classes)
 
     members = classes.join(reached, "node").select("component", "group", "digest", "node", "times", "unit")
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
@@ -173,9 +221,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     counted = dealt.groupBy("deal", "low", "high").applyInPandas(_tiles, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
     own = valid.select("vec_id", "group", "digest").join(classes.select("group", "digest", "node", "times"), ["group", "digest"])
     own = own.join(counted, "node", "left").join(reached, "node", "left")
-    linked = own.select("vec_id", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    joined = own.select("vec_id", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     alone = read.where("vec_id is null or label is null or unit is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return joined.unionByName(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark, folder: str) -> DataFrame:

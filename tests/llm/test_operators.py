@@ -152,6 +152,21 @@ def test_embedding_links_are_exact(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_in_a_crowd_are_found(spark):
+    rng = np.random.default_rng(2)
+    n, pairs, size = 8000, 300, 64
+    centre = np.eye(size)[0]
+    spread = rng.normal(size=(n, size)) * (1 - centre)
+    crowd = np.sqrt(0.95) * centre + np.sqrt(0.05) * spread / np.linalg.norm(spread, axis=1)[:, None]
+    for i in range(pairs):  # a partner at cosine 0.981
+        off = rng.normal(size=size)
+        off -= off @ crowd[2 * i] * crowd[2 * i]
+        crowd[2 * i + 1] = 0.981 * crowd[2 * i] + np.sqrt(1 - 0.981**2) * off / np.linalg.norm(off)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(crowd)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(pairs)) >= 0.995 * pairs
+
+
 def test_top_k_is_exact(spark):
     rows, df = vectors(spark)
     df = df.unionByName(df.where("vec_id = 50"))
