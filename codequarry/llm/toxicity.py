@@ -6,7 +6,9 @@ its 7-letter beginning, whose prior is that of its 6-letter beginning, and so on
 words; so an unseen form of a known stem gets the stem's odds. A token scores the log-odds of its share
 against the share over all words, less ``DRIFT``, so that clean prose sums to less and less.
 
-Search: one linear pass over a document's running sum finds all maximal-scoring segments (Ruzzo and Tompa).
+Search: one linear pass over a document's running sum finds all maximal-scoring segments (Ruzzo and Tompa). Every
+token scores in it, so a passage is found wherever it stands. A word that repeats within such a segment is no new
+evidence there: a second pass over the segment alone, where repeats that speak for toxicity score 0, gives the passages.
 
 Calibration: best segments of clean documents follow an extreme-value law; its two parameters are fitted by
 maximum likelihood and turn a segment's score into the number of equally good ones to expect by chance in a
@@ -71,19 +73,13 @@ class Odds:
         self.toxic, self.both = toxic.astype(np.float32), (toxic + clean).astype(np.float32)
         self.share = (float(toxic.sum()) + 0.5) / (float(self.both.sum()) + 1.0)
 
-    def tokens(self, buckets: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Scores of words; a word that occurred before in its text is no new evidence and scores 0 if it speaks for toxicity."""
+    def tokens(self, buckets: np.ndarray) -> np.ndarray:
+        """Scores of words, each by itself."""
         share = np.full(buckets.shape[1], self.share, np.float32)
         for row in buckets:
             share = (self.toxic[row] + PRIOR * share) / (self.both[row] + PRIOR)
         share = np.clip(share, 1e-6, 1 - 1e-6)
-        scores = np.log(share / (1 - share)) - np.log(self.share / (1 - self.share)) - DRIFT
-        up = np.flatnonzero(scores > 0)
-        new = np.unique(doc[up] << BITS | buckets[-1][up], return_index=True)[1]
-        again = np.ones(len(up), bool)
-        again[new] = False
-        scores[up[again]] = 0
-        return scores
+        return np.log(share / (1 - share)) - np.log(self.share / (1 - self.share)) - DRIFT
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -113,6 +109,22 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     return [(r - l, a, b) for l, r, a, b in zip(left, right, first, last, strict=True)]
 
 
+def passages(scores: np.ndarray, words: np.ndarray) -> list[tuple[float, int, int]]:
+    """The maximal-scoring segments in which each of ``words`` speaks for toxicity once: (score, first, last) in order."""
+    out = []
+    for score, first, last in segments(scores):
+        own, word = scores[first : last + 1], words[first : last + 1]
+        up = np.flatnonzero(own > 0)
+        new = np.unique(word[up], return_index=True)[1]
+        if len(new) == len(up):
+            out.append((score, first, last))
+            continue
+        once = np.minimum(own, 0)
+        once[up[new]] = own[up[new]]
+        out += [(s, first + a, first + b) for s, a, b in segments(once)]
+    return out
+
+
 def _evidence(length: int, found: list[tuple[float, int, int]], law: tuple[float, float]) -> tuple[float, float]:
     """Of the best segment and of all that are significant: minus the log of the number to expect by chance."""
     rate, size = law
@@ -172,9 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
             out = []
             for lo, hi in wordscan.slices(texts):
                 words, buckets = features(texts.slice(lo, hi - lo))
-                per, scores = words.per_doc(), [m.tokens(buckets, words.doc) for m in models]
+                per, scores = words.per_doc(), [m.tokens(buckets) for m in models]
                 for i in range(hi - lo):
-                    found = segments(scores[half[lo + i]][per[i] : per[i + 1]])
+                    found = passages(scores[half[lo + i]][per[i] : per[i + 1]], buckets[-1][per[i] : per[i + 1]])
                     out.append(([s for s, _, _ in found], int(per[i + 1] - per[i])))
             columns = [batch.column(1), pa.array([x[1] for x in out], pa.int32()), pa.array([x[0] for x in out], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["label", "length", "found"])
@@ -202,24 +214,24 @@ class Judge:
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
         """The probability of each text, and its significant passages (bytes of the text, end exclusive)."""
-        passages: list[list[dict]] = [[] for _ in range(len(texts))]
+        significant: list[list[dict]] = [[] for _ in range(len(texts))]
         if not self.known:
-            return np.zeros(len(texts)), passages
+            return np.zeros(len(texts)), significant
         texts, facts = wordscan.as_bytes(texts), np.zeros((len(texts), 2))
         for lo, hi in wordscan.slices(texts):
             words, buckets = features(texts.slice(lo, hi - lo))
-            per, scores = words.per_doc(), self.odds.tokens(buckets, words.doc)
+            per, scores = words.per_doc(), self.odds.tokens(buckets)
             for i in range(hi - lo):
                 a, b = int(per[i]), int(per[i + 1])
-                found = segments(scores[a:b])
+                found = passages(scores[a:b], buckets[-1][a:b])
                 facts[lo + i] = _evidence(b - a, found, self.law)
                 for s, first, last in found:
                     chance = self.law[1] * (b - a) * np.exp(-self.law[0] * s)
                     if chance <= MOST_PASSAGES:
                         span = (words.start[a + first] - words.bounds[i], words.end[a + last] - words.bounds[i])
-                        passages[lo + i].append({"start": int(span[0]), "end": int(span[1]), "chance": float(chance)})
+                        significant[lo + i].append({"start": int(span[0]), "end": int(span[1]), "chance": float(chance)})
         x = np.column_stack([np.ones(len(facts)), squash(facts[:, 0], facts[:, 1])])
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), passages
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), significant
 
 
 def score(docs: DataFrame, model) -> DataFrame:
@@ -234,8 +246,8 @@ def score(docs: DataFrame, model) -> DataFrame:
         judge = Judge(model)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chance", pa.float64())]))
         for batch in batches:
-            chance, passages = judge.read(batch.column(1))
-            columns = [batch.column(0), pa.array(chance), pa.array([len(p) for p in passages], pa.int32()), pa.array(passages, kind)]
+            chance, found = judge.read(batch.column(1))
+            columns = [batch.column(0), pa.array(chance), pa.array([len(p) for p in found], pa.int32()), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "n_passages", "passages"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -497,6 +497,20 @@ def test_toxic_passages_and_filter(spark, odd):
     assert toxicity.without_toxic(odd, labels).columns == odd.columns
 
 
+def test_a_passage_counts_wherever_it_stands(spark):
+    docs, labels, _ = labelled_docs(spark)
+    model = toxicity.train(docs, labels)
+    rng = random.Random(7)
+    bad, clean = "vileen vilest vilely vileo", prose(rng, 4000)
+    texts = [f"{bad} {clean} {bad}", f"{bad} {clean}", f"vileen {prose(rng, 400)} vilest {prose(rng, 400)} vilely {prose(rng, 400)} vileo {prose(rng, 400)} {bad}", " ".join(["vileen"] * 40)]
+    got = toxicity.Judge(model).read(pa.array(texts))[1]
+    begin = [p["start"] for p in got[0]]
+    assert begin[0] == 0 and begin[-1] == texts[0].rindex(bad) and len(begin) == len(got[1]) + 1
+    assert got[0][0]["chance"] == pytest.approx(got[0][-1]["chance"])
+    assert texts[2].rindex(bad) in [p["start"] for p in got[2]]
+    assert len(got[3]) <= 1  # one word said often is one word's evidence
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     machine = quality.Machine(np.zeros(len(quality.NAMES)), np.ones(len(quality.NAMES)))
