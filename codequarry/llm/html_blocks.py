@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 # Elements of HTML by how they part text.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    # formulas stand in their sentence
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mmultiscripts mprescripts mspace mpadded mphantom merror menclose mtable mtr mtd maction semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = "script|style|noscript|template|title|textarea|iframe|object|svg|math|select"
+RAW = frozenset("script style textarea title".split())  # nothing inside is a tag; without an end tag they run to the page's end
+UNSEEN = frozenset("noscript template iframe object svg select".split())  # without an end tag they end with their parent
 CLOSED_BY = {
     "p": frozenset("p div ul ol li table article section aside header footer nav form h1 h2 h3 h4 h5 h6 blockquote pre main figure dl hr".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
@@ -19,11 +23,12 @@ CLOSED_BY = {
 }
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
-    re.S | re.I,
+    re.S,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -39,12 +44,16 @@ def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, with character references decoded and white space made single.
 
     Any text parses: unclosed elements end where HTML lets them or at the end, unknown end tags and a tag that the
-    page's end cuts off are passed over. Line breaks inside a block count as white space.
+    page's end cuts off are passed over. Line breaks inside a block count as white space. Text of elements that a
+    browser doesn't show (``RAW`` and ``UNSEEN``) is in no block, and such elements don't part the text around them.
     """
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     parts: list[str] = []
     links, linked = 0, 0
+    hidden: int | None = None  # the place in the stack of an element of UNSEEN, if inside one
+    around: Counter[str] = Counter()  # open inline elements of the block
+    inside: Counter[str] = Counter()  # and of the hidden element
 
     def flush() -> None:
         nonlocal linked
@@ -55,38 +64,83 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for token in _TOKEN.finditer(page):
-        whole = token[0]
+    def place(name: str) -> int:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+
+    at = 0
+    while at < len(page):
+        token = _TOKEN.match(page, at)
+        whole, at = token[0], token.end()
         if whole[0] != "<" or whole == "<":
+            if hidden is not None:
+                continue
             piece = html.unescape(whole) if "&" in whole else whole
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
             continue
-        name = token[3] or token[6]
+        name = token[2] or token[5]
         if not name:
             continue
         name = name.lower()
-        end = bool(token[2] or token[5])
+        end, closed = bool(token[1] or token[4]), whole.endswith("/>")
+        if name in RAW and not end:
+            if not (closed and hidden is not None and stack[hidden][0] == "svg"):
+                over = _RAW_END[name].search(page, at)
+                at = over.end() if over else len(page)
+            continue
+        if hidden is not None:
+            if name in INLINE:
+                leaves = end and not inside[name] and around[name] > 0
+                if not leaves:
+                    if not closed and name not in VOID:
+                        inside[name] = max(0, inside[name] + (-1 if end else 1))
+                    continue
+            elif end:
+                found = place(name)
+                leaves = 0 <= found < hidden
+                if not leaves:
+                    if found >= 0:
+                        del stack[found:]
+                    if found == hidden:
+                        hidden = None
+                    continue
+            else:
+                while len(stack) > hidden + 1 and name in CLOSED_BY.get(stack[-1][0], ()):
+                    stack.pop()
+                if name not in VOID and not (closed and (name == "svg" or stack[hidden][0] == "svg")):
+                    stack.append((name, ()))
+                continue
+            del stack[hidden:]
+            hidden = None
+        if name in UNSEEN:
+            if not end and not (closed and name == "svg"):
+                hidden = len(stack)
+                inside.clear()
+                stack.append((name, ()))
+            continue
         if name == "br":
             parts.append(" ")
         elif name == "a":
             links = max(0, links + (-1 if end else 1))
         if name in INLINE or name == "br":
+            around[name] = max(0, around[name] + (-1 if end else 1))
             continue
         flush()
         links = 0
+        around.clear()
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            found = place(name)
+            if found >= 0:
+                del stack[found:]
         elif name not in VOID:
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
             words: tuple[str, ...] = ()
-            if token[4] and "=" in token[4]:
-                words = tuple(w.lower() for m in _NAMED.finditer(token[4]) for w in _PIECE.findall(m[1] or m[2] or m[3] or ""))
+            if token[3] and "=" in token[3]:
+                words = tuple(w.lower() for m in _NAMED.finditer(token[3]) for w in _PIECE.findall(m[1] or m[2] or m[3] or ""))
             stack.append((name, words))
+    if hidden is not None:
+        del stack[hidden:]
     flush()
     return out

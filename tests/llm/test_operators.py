@@ -573,3 +573,19 @@ def test_layouts_held_out_and_viterbi():
 @pytest.mark.parametrize("page", ["", "<", "a < b", "<p", "<p class='x", "<!-- open", "<script>never closed", "</div></p>x", "<p>a<p>b", "&amp", "&am", "<a href='x>y'>t</a>", "<li>a<li>b" * 300, "<div>" * 3000 + "x"])
 def test_any_page_parses(page):
     assert all(b.text == " ".join(b.text.split()) for b in html_blocks.blocks(page))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<header><svg class="i"/></header><article><p>Main one.</p></article>', ["Main one."]),
+        ("<article><title-bar>x</title-bar><p>Main.</p></article>", ["x", "Main."]),
+        ("<article><template-row>a</template-row><object-list>b</object-list></article>", ["a", "b"]),
+        ("<div><select><option>a<option>b</div><p>Main.</p>", ["Main."]),
+        ("<p><span><object data=x></span> Main.</p><div><noscript><p>No</div><p>Two.</p>", ["Main.", "Two."]),
+        ("<p>Area <math><mi>a</mi><mo>=</mo><mn>2</mn></math> is <svg><title/><g><text>no</g></svg>two.</p>", ["Area a=2 is two."]),
+        ("<object><object>no</object>no</object><p>Main.<script>a</p></SCRIPT > End.</p><style>no", ["Main. End."]),
+    ],
+)
+def test_only_what_is_unseen_goes(page, want):
+    assert [b.text for b in html_blocks.blocks(page)] == want
