@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and the check SQL of those that SQL can express."""
 
-from codequarry.llm import embedding_dedup, html_crf, linededup, minhash, mixing, quality, sentencepiece_fst, sharding, topk, toxicity
+from codequarry.llm import centroids, decontaminate, embedding_dedup, fill_middle, html_crf, linededup, minhash, mixing, quality, sentencepiece_fst, sharding, topk, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
@@ -13,9 +13,15 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_topk": topk.query,
     "op10_mixing": mixing.query,
+    "op11_centroids": centroids.query,
+    "op12_fill_middle": fill_middle.query,
+    "op13_decontamination": decontaminate.query,
 }
 ORACLE_SQL = {
     "op6_line_dedup": linededup.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
+    "op13_decontamination": decontaminate.ORACLE,
 }
