@@ -109,7 +109,8 @@ class Shard:
             while (a < b).any():
                 open_ = a < b
                 middle = (a + b) // 2
-                at = self.words[self.order[np.minimum(middle, len(self.order) - 1)] + depth]
+                # a closed stretch may point behind its end, at a suffix of fewer words
+                at = self.words[np.minimum(self.order[np.minimum(middle, len(self.order) - 1)] + depth, len(self.words) - 1)]
                 less = open_ & (at < word + above)
                 a, b = np.where(less, middle + 1, a), np.where(open_ & ~less, middle, b)
             edges.append(a)

@@ -226,6 +226,13 @@ def test_hits_equal_brute_force_on_odd_rows(spark, block):
     assert clean.columns == df.drop("_hits").columns and clean.count() == sum(not w[2] for w in want)
 
 
+def test_a_stretch_before_a_short_suffix_at_the_end():
+    block = decontaminate.Block(np.array([1, 2]), pa.array(["a a a a", "b"]), 4)
+    found = decontaminate.Result(block, wordscan.as_bytes(pa.array(["a a a a a", "b"])))
+    assert [found.spans(i) for i in range(2)] == [[(0, 4)], [(0, 0)]]
+    assert found.longest.tolist() == [4, 1] and [x.tolist() for x in found.items] == [[1], [2]]
+
+
 def test_no_benchmark_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id int, text string")
