@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import fixed
-from codequarry.sources.store import settle
+from codequarry.operators.chains import ChainIndex, chain_index, merge_intervals, reached, within
 
 
 def default_branch(branches: DataFrame) -> DataFrame:
@@ -48,58 +48,32 @@ def parent_edges(commits: DataFrame) -> DataFrame:
     return commits.select("repo", "hash", F.posexplode("parents").alias("pos", "parent"))
 
 
-def reachable(commits: DataFrame, tips: DataFrame) -> DataFrame:
-    """Commits reachable from ``tips`` (repo, hash), tips included.
+def reachable(commits: DataFrame, tips: DataFrame, index: ChainIndex | None = None) -> DataFrame:
+    """Commits (repo, hash) reachable from ``tips`` (repo, hash), tips included.
 
-    Walking one parent per round would need as many rounds as the history is long. Instead, tables of
-    2^k-th first parents are built by joining each with itself, and a set of commits is extended along
-    all its first-parent chains with one join per table, longest steps first. What is left are the
-    other parents of the commits just reached: one outer round per level of nested merges.
+    ``index``: ``chains.chain_index(commits)``, if it is at hand.
     """
-    links = settle(parent_edges(commits), "parents")
-    jumps = [links.where("pos = 0").select("repo", "hash", F.col("parent").alias("up"))]
-    while True:
-        step = jumps[-1]
-        double = (
-            step.withColumnRenamed("up", "mid")
-            .join(step.select("repo", F.col("hash").alias("mid"), "up"), ["repo", "mid"])
-            .select("repo", "hash", "up")
-        )
-        double = settle(double, f"jump-{len(jumps)}")
-        if double.isEmpty():
-            break
-        jumps.append(double)
-    side_links = links.where("pos > 0")
-    done = None
-    frontier = settle(tips.select("repo", "hash").distinct(), "frontier")
-    while not frontier.isEmpty():
-        grown = frontier
-        for jump in reversed(jumps):
-            both = F.explode(F.array_compact(F.array("hash", "up")))
-            grown = grown.join(jump, ["repo", "hash"], "left").select("repo", both.alias("hash")).distinct()
-        fresh = grown if done is None else grown.join(done, ["repo", "hash"], "left_anti")
-        fresh = settle(fresh, "reached")
-        done = fresh if done is None else done.unionByName(fresh)
-        nxt = fresh.join(side_links, ["repo", "hash"]).select("repo", F.col("parent").alias("hash")).distinct()
-        frontier = settle(nxt.join(done, ["repo", "hash"], "left_anti"), "frontier")
-    return frontier if done is None else done
-
-
-def main_commits(commits: DataFrame, branches: DataFrame) -> DataFrame:
+    index = index or chain_index(commits)
+    return within(reached(tips, index).withColumnRenamed("tail", "high"), index.members, "low", "high").select("repo", "hash")
+
+
+def main_commits(commits: DataFrame, branches: DataFrame, index: ChainIndex | None = None) -> DataFrame:
     """Commits reachable from each repository's default branch."""
     tips = default_branch(branches).select("repo", F.col("tip").alias("hash"))
-    return commits.join(reachable(commits, tips), ["repo", "hash"], "left_semi")
+    return commits.join(reachable(commits, tips, index), ["repo", "hash"], "left_semi")
 
 
 def main_commit_count(on_main: DataFrame) -> DataFrame:
     return on_main.agg(F.count(F.lit(1)).alias("main_commits"))
 
 
-def newest_merges(on_main: DataFrame, n: int = 50) -> DataFrame:
-    """Newest merge commits per repository: merge, merge_ts, first and second parent."""
-    newest = Window.partitionBy("repo").orderBy("log_seq")
-    ranked = on_main.where(F.size("parents") >= 2).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
-    return ranked.where("ts > 0").select(
+def newest_merges(on_main: DataFrame, n: int | None = None) -> DataFrame:
+    """Merge commits, or the newest ``n`` of each repository: merge, merge_ts, first and second parent."""
+    found = on_main.where(F.size("parents") >= 2)
+    if n is not None:
+        newest = Window.partitionBy("repo").orderBy("log_seq")
+        found = found.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
+    return found.where("ts > 0").select(
         "repo",
         F.col("hash").alias("merge"),
         F.col("ts").alias("merge_ts"),
@@ -108,59 +82,13 @@ def newest_merges(on_main: DataFrame, n: int = 50) -> DataFrame:
     )
 
 
-def merge_commit_ranges(commits: DataFrame, merges: DataFrame) -> DataFrame:
+def merge_commit_ranges(commits: DataFrame, merges: DataFrame, index: ChainIndex | None = None) -> DataFrame:
     """Commits reachable from a merge's second parent but not from its first: (repo, merge, hash, ts).
 
-    ``log_seq`` must list children before parents (a topological log). Both sides of all merges are
-    walked together. A side commit is decided once no old commit (reachable from the first parent)
-    above it is open; an old commit moves only while it may still reach an open side commit. So the
-    walk never goes below a merge base, and it ends with the last open side commit. Every commit moves
-    once per merge.
+    ``log_seq`` must list children before parents (a topological log). ``index``: ``chains.chain_index(commits)``.
     """
-    seq = commits.select("repo", "hash", "log_seq")
-    up = settle(
-        parent_edges(commits)
-        .select("repo", "hash", "parent")
-        .join(seq.select("repo", F.col("hash").alias("parent"), F.col("log_seq").alias("parent_seq")), ["repo", "parent"]),
-        "range-parents",
-    )
-    keys = ["repo", "merge"]
-    ends = F.explode(
-        F.array(
-            F.struct(F.col("first_parent").alias("hash"), F.lit(True).alias("old")),
-            F.struct(F.col("second_parent").alias("hash"), F.lit(False).alias("old")),
-        )
-    )
-    open_ = merges.select(*keys, ends.alias("e")).select(*keys, "e.*").join(seq, ["repo", "hash"])
-    per_merge = Window.partitionBy(*keys)  # the open commits of one merge: the width of its walk
-    old, at = F.col("old"), F.col("log_seq")
-    moved = None
-    while True:
-        # one row per open commit; merges without an open side commit are finished
-        rows = (
-            open_.groupBy(*keys, "hash", "log_seq")
-            .agg(F.bool_or("old").alias("old"))
-            .withColumn("next_old", F.min(F.when(old, at)).over(per_merge))
-            .withColumn("last_side", F.max(F.when(~old, at)).over(per_merge))
-            .where("last_side IS NOT NULL")
-            .withColumn("moves", F.when(old, at < F.col("last_side")).otherwise(F.col("next_old").isNull() | (at < F.col("next_old"))))
-            .drop("next_old", "last_side")
-        )
-        rows = settle(rows, "range-open")
-        if rows.isEmpty():
-            break
-        now = rows.where("moves")
-        step = now.select(*keys, "hash", "old")
-        moved = step if moved is None else moved.unionByName(step)
-        above = now.join(up, ["repo", "hash"]).select(
-            *keys, F.col("parent").alias("hash"), F.col("parent_seq").alias("log_seq"), "old"
-        )
-        above = above.join(moved.select(*keys, "hash"), [*keys, "hash"], "left_anti")
-        open_ = rows.where("NOT moves").select(*keys, "hash", "log_seq", "old").unionByName(
-            above.select(*keys, "hash", "log_seq", "old")
-        )
-    sides = rows.select(*keys, "hash") if moved is None else moved.where("NOT old").select(*keys, "hash")
-    return sides.distinct().join(commits.select("repo", "hash", "ts"), ["repo", "hash"]).select(*keys, "hash", "ts")
+    index = index or chain_index(commits)
+    return within(merge_intervals(merges, index), index.members, "low", "high").select("repo", "merge", "hash", "ts")
 
 
 def branch_durations(ranges: DataFrame, merges: DataFrame) -> DataFrame:

@@ -464,7 +464,7 @@ CHECKS["stale_branches"] = "SELECT * FROM stale"
 CTES["parents"] = "SELECT repo, hash, parent1 AS parent FROM commits WHERE parent1 IS NOT NULL UNION ALL SELECT repo, hash, parent2 FROM commits WHERE parent2 IS NOT NULL"
 CTES["on_main"] = "SELECT repo, tip AS hash FROM mains UNION SELECT p.repo, p.parent FROM on_main m JOIN parents p ON p.repo = m.repo AND p.hash = m.hash"
 CTES["mcommits"] = "SELECT c.* FROM commits c JOIN on_main USING (repo, hash)"
-CTES["merges"] = "SELECT repo, hash AS merge, ts AS merge_ts, parent1, parent2 FROM mcommits WHERE parent2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo ORDER BY log_seq) <= 50"
+CTES["merges"] = "SELECT repo, hash AS merge, ts AS merge_ts, parent1, parent2 FROM mcommits WHERE parent2 IS NOT NULL AND ts > 0"
 CTES["old_side"] = "SELECT repo, merge, parent1 AS hash FROM merges UNION SELECT p.repo, o.merge, p.parent FROM old_side o JOIN parents p ON p.repo = o.repo AND p.hash = o.hash"
 CTES["new_side"] = "SELECT repo, merge, parent2 AS hash FROM merges UNION SELECT p.repo, o.merge, p.parent FROM new_side o JOIN parents p ON p.repo = o.repo AND p.hash = o.hash"
 CTES["ranges"] = "SELECT r.repo, r.merge, r.hash, c.ts FROM (SELECT * FROM new_side EXCEPT SELECT * FROM old_side) r JOIN commits c USING (repo, hash)"

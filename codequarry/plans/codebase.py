@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text
 from codequarry.operators import branches as br
-from codequarry.operators import declgraph, extract, graph, history, marts, services, technology
+from codequarry.operators import chains, declgraph, extract, graph, history, marts, services, technology
 from codequarry.plans import standins
 from codequarry.sources import files as src
 from codequarry.sources import store
@@ -237,9 +237,15 @@ class Codebase:
         enriched = history.enrich_files(ids, tops, self.repos).where("top_authors IS NOT NULL")
         return history.author_files_modified(enriched, self.authors)
 
+    @cached_property
+    def chains(self) -> chains.ChainIndex:
+        """The commit graph's chains: one index for main commits and all merges."""
+        members = self.stage("chain-members", lambda: chains.chain_members(self.commits))
+        return chains.ChainIndex(members, self.stage("chain-links", lambda: chains.chain_links(self.commits, members)))
+
     @cached_property
     def on_main(self) -> DataFrame:
-        return self.stage("on-main", lambda: br.main_commits(self.commits, self.branches))
+        return self.stage("on-main", lambda: br.main_commits(self.commits, self.branches, self.chains))
 
     @cached_property
     def merges(self) -> DataFrame:

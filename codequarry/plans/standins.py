@@ -216,15 +216,18 @@ def _listing() -> str:
 _POS = _div("o_orderkey", 3)
 _J = f"({_POS} % 10)"
 _BLOCK = _div(_POS, 10)
+LONG, LONG_EVERY = 1000, 4000
 
 
 def _parent_cols() -> tuple[str, str]:
     """First and second parent as positions, -1 for none; see ``commits``."""
+    long = f"({_POS} % {LONG_EVERY})"  # a branch of LONG commits, now and then, and the place of its merge
+    in_long = f"{long} >= {LONG} AND {long} < {2 * LONG}"
     first = (
-        f"CASE WHEN {_POS} = 0 THEN -1 WHEN {_J} = 2 AND {_BLOCK} % 4 = 3 THEN {_POS} - 12 WHEN {_J} = 2 THEN {_POS} - 2 "
+        f"CASE WHEN {_POS} = 0 THEN -1 WHEN {in_long} THEN {_POS} - 1 WHEN {long} = {2 * LONG} THEN {_POS} - {LONG + 1} WHEN {_J} = 2 AND {_BLOCK} % 4 = 3 THEN {_POS} - 12 WHEN {_J} = 2 THEN {_POS} - 2 "
         f"WHEN {_J} = 5 THEN {_POS} - 4 WHEN {_J} = 8 AND {_BLOCK} % 7 = 6 THEN {_POS} - 2 ELSE {_POS} - 1 END"
     )
-    second = f"CASE WHEN {_J} = 9 THEN {_POS} - 5 WHEN {_J} = 4 AND {_BLOCK} % 5 = 4 THEN {_POS} - 3 ELSE -1 END"
+    second = f"CASE WHEN {in_long} THEN -1 WHEN {long} = {2 * LONG + 9} THEN {_POS} - 10 WHEN {_J} = 9 THEN {_POS} - 5 WHEN {_J} = 4 AND {_BLOCK} % 5 = 4 THEN {_POS} - 3 ELSE -1 END"
     return first, second
 
 
@@ -302,7 +305,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "listing": ((), _listing()),
     # three repositories of interleaved keys; blocks of ten: 0,1,5..8 on main, 2..4 a branch, 9 its merge;
-    # some branches start a block earlier, some merge main first, some commits hang off main
+    # some branches start a block earlier, some merge main first, some commits hang off main, some branches are long
     "commits": (
         (),
         f"SELECT '/org/r' || {_s('o_orderkey % 3')} AS repo, CAST(o_orderkey % 3 AS INT) AS repo_ord, "

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import branches as br
+from codequarry.operators import chains
 from codequarry.operators import history
 from codequarry.sources import files as src
 from codequarry.sources import history_text as ht
@@ -51,9 +52,55 @@ def test_reachable(spark, dag):
     assert got == ancestors(parents, "x55") | ancestors(parents, "y34")
 
 
+@pytest.mark.parametrize("block_rows", [7, 65_536])
+def test_chains_are_paths_of_first_parents(dag, block_rows):
+    """A chain is named by its newest commit; along it each commit is the first parent of the one before."""
+    commits, parents = dag
+    rows = {r["hash"]: r for r in commits.collect()}
+    least = {}  # by definition: the newest commit from which first parents lead here
+    for h in sorted(rows, key=lambda h: rows[h]["log_seq"]):
+        least[h] = min(least.get(h, rows[h]["log_seq"]), rows[h]["log_seq"])
+        for p in parents[h][:1]:
+            least[p] = min(least.get(p, least[h]), least[h])
+    got = chains.chain_members(commits, block_rows).collect()
+    assert {r["hash"]: r["chain"] for r in got} == least
+    assert all(r["tail"] == max(rows[h]["log_seq"] for h in least if least[h] == r["chain"] and h[0] == r["repo"]) for r in got)
+
+
+def test_long_branches_take_few_rounds(spark, monkeypatch):
+    """A branch of 2,000 commits that took main in 20 times, and main's merge of it."""
+    rows, n, side = [], 0, None
+    main, tips = [], {}
+
+    def commit(parents):
+        nonlocal n
+        n += 1
+        rows.append(("r", f"c{n}", n, 100_000 - n, parents))
+        return f"c{n}"
+
+    main.append(commit([]))
+    for i in range(2000):
+        if i % 4 == 0:
+            main.append(commit([main[-1]]))
+        side = commit([side or main[0]] + ([main[-1]] if i % 100 == 99 else []))
+    tips["merge"] = commit([main[-1], side])
+    parents = {r[1]: r[4] for r in rows}
+    commits = spark.createDataFrame(rows, "repo string, hash string, ts long, log_seq long, parents array<string>").repartition(3)
+    rounds = []
+    monkeypatch.setattr(chains, "settle", lambda df, label, settle=chains.settle: rounds.append(label) or settle(df, label))
+    merges = br.newest_merges(commits)
+    got = {}
+    for r in br.merge_commit_ranges(commits, merges, chains.chain_index(commits, 300)).collect():
+        got.setdefault(r["merge"], set()).add(r["hash"])
+    assert rounds.count("merge-walk") <= 40 and rounds.count("chain-step") <= 5
+    want = {h: ancestors(parents, p[1]) - ancestors(parents, p[0]) for h, p in parents.items() if len(p) > 1}
+    assert len(want) == 21 and got == want and len(got[tips["merge"]]) == 2000
+
+
 def test_merge_ranges(dag):
     commits, parents = dag
-    merges = br.newest_merges(commits, 50)
+    merges = br.newest_merges(commits)
+    assert br.newest_merges(commits, 5).count() == 10  # an option, for each repository
     got = {}
     for r in br.merge_commit_ranges(commits, merges).collect():
         assert r["hash"] not in got.setdefault(r["merge"], set())
