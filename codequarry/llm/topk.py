@@ -1,21 +1,25 @@
-"""Exact top-k search by inner product, without random access to scores until the end.
+"""Exact top-k search by inner product: sorted lists, read in sequence, with no random access to scores.
 
 Vectors and queries are dealt into blocks by a hash of their id, and each block of queries meets each block of
-vectors. There, every dimension has its list of the vectors in order of component. Lists are read from the end
-that a query's component favours, all to the same depth. Of a vector seen in some lists, the score lies between
+vectors. There, every dimension has its list of the vectors in order of component. A query reads its lists one after the
+other, those first that can move scores most (its component times the list's range), each from the end that the
+component favours. What is read of a vector's score is its partial sum; the rest lies between
 
-* lower: what was read of it, plus the least that the unread lists hold, and
-* upper: what was read of it, plus the list's current value for each unread one.
+* lower: the partial sum plus the least that each unread list holds, and
+* upper: the partial sum plus the most that each unread list holds; for the list that is being read, the entry reached.
 
-A vector whose upper bound is below the k-th best lower bound can't be among the k best and is dropped; reading goes
-deeper until no more than a few per result remain or the lists are read. Only then are the remaining scores computed. Each
-block's k best meet the other blocks' in one aggregation per query, and the k best of all are exact.
+A vector whose upper bound is below the k-th best lower bound can't be among the k best: it is dropped, and its entries in
+the other lists are passed over. Reading ends when all lists are read for the vectors that are left, whose partial sums are
+then their scores. Each block's k best meet the other blocks' in one aggregation per query, and the k best of all are exact.
 
-All numbers are integers: components are floor(256 x), so bounds and scores carry no rounding.
+All numbers are integers: components are floor(256 x), so bounds and scores carry no rounding. Vectors with a component of
+``WIDE`` or more, whose products would pass the range of 64 bits, are scored one by one in unbounded integers; a score
+that no long holds comes out as the nearest long.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +34,20 @@ BEST = 5
 SCALE = 256
 EVERY = 50
 ROWS = 8192  # vectors of a block, about
-QUERIES = 1024  # queries of a block, about
-DEPTHS = (0.06, 0.15, 0.3, 0.5)
+QUERIES = 4096  # queries of a block, about
+WIDE = 1 << 28  # products of such components, summed over 64 dimensions, would pass 2^62
+TEST_EVERY = 4  # lists between two tests of all bounds while many vectors are left
+LONG = (1 << 63) - 1
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Integer vectors as bytes (double precision holds them exactly), with their dimension; null if any component isn't a number."""
+    """Integer vectors as bytes (double precision holds them exactly), with their dimension; null if any component, or its multiple, isn't finite."""
     for batch in batches:
         lists, out, sizes = batch.column(1), [], []
         flat = lists.flatten()
         holes = flat.null_count > 0
-        values = np.floor(SCALE * flat.to_numpy(zero_copy_only=False).astype(float))
+        with np.errstate(over="ignore", invalid="ignore"):
+            values = np.floor(SCALE * flat.to_numpy(zero_copy_only=False).astype(float))
         at = 0
         for n in pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy():
             v = values[at : at + n]
@@ -56,63 +63,72 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.n, self.size = vectors.shape
-        self.rank = np.empty((self.n, self.size), np.int32)
-        places = np.argsort(self.vectors, axis=0, kind="stable")
-        np.put_along_axis(self.rank, places, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
-        self.sorted = np.take_along_axis(self.vectors, places, axis=0)
-
-    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores after reading ``depth`` entries of each list.
-
-        ``up`` and ``down`` hold the queries' positive and negative components, whose lists are read from the top
-        and from the bottom.
-        """
-        top, bottom = self.rank >= self.n - depth, self.rank < depth
-        read = up @ (self.vectors * top).T + down @ (self.vectors * bottom).T
-        low, high = self.sorted[0], self.sorted[-1]
-        here_top, here_bottom = self.sorted[max(self.n - depth - 1, 0)], self.sorted[min(depth, self.n - 1)]
-        unread_top, unread_bottom = (~top).astype(float), (~bottom).astype(float)
-        upper = read + (up * here_top) @ unread_top.T + (down * here_bottom) @ unread_bottom.T
-        lower = read + (up * low) @ unread_top.T + (down * high) @ unread_bottom.T
-        return lower, upper
-
-    def best(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-        """(query, vector, score) of the k best of this block for each query, its own vector left out."""
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        own = ids[:, None] == self.ids
-        alive = ~own
-        floor = np.full(len(ids), -np.inf)
-        for share in DEPTHS:
-            depth = max(1, int(share * self.n))
-            if self.n <= 4 * k or depth >= self.n:
-                break
-            lower, upper = self.bounds(up, down, depth)
-            lower[own] = -np.inf
-            floor = np.maximum(floor, np.partition(lower, self.n - k, axis=1)[:, self.n - k])
-            alive &= upper >= floor[:, None]
-            if alive.sum() <= 8 * k * len(ids):
-                break
-        for q in range(len(ids)):
-            left = np.flatnonzero(alive[q])
-            scores = self.vectors[left] @ queries[q]
-            if len(left) > k:
-                # ties go to the smaller id: ids are in order, so a stable order by falling score keeps them
-                edge = np.partition(scores, len(left) - k)[len(left) - k]
-                keep = scores >= edge
-                left, scores = left[keep], scores[keep]
-            for i in np.argsort(-scores, kind="stable")[:k]:
-                yield int(ids[q]), int(self.ids[left[i]]), int(scores[i])
+        self.ids, self.n, self.size = ids[order], *vectors.shape
+        columns = np.ascontiguousarray(vectors[order].T.astype(np.int64))
+        self.places = np.argsort(columns, axis=1, kind="stable")  # by rising component
+        self.values = np.take_along_axis(columns, self.places, axis=1)
+        self.read = 0  # entries
+        self.left: list[tuple[float, float]] = []  # of the last query: share of the lists read, share of the vectors left
+
+    def best(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(vector, score) of the k best of this block for a query, vectors with the id ``own`` left out; ties to the smaller id."""
+        query = query.astype(np.int64)
+        low, high = self.values[:, 0], self.values[:, -1]
+        top, bottom = np.where(query > 0, query * high, query * low), np.where(query > 0, query * low, query * high)
+        order = np.argsort(bottom - top, kind="stable")
+        most, least = top.sum(), bottom.sum()  # of the unread lists
+        partial, alive = np.zeros(self.n, np.int64), self.ids != own
+        left = int(alive.sum())
+        self.left = []
+        for nth, d in enumerate(order):
+            entries, values = (self.places[d], self.values[d]) if query[d] <= 0 else (self.places[d][::-1], self.values[d][::-1])
+            if left < self.n:
+                open_ = alive[entries]
+                entries, values = entries[open_], values[open_]
+            most, least = most - top[d], least - bottom[d]
+            half = len(entries) // 2
+            partial[entries[:half]] += query[d] * values[:half]
+            self.read += half
+            rest, more = entries[half:], query[d] * values[half:]
+            if left > k and (nth % TEST_EVERY == TEST_EVERY - 1 or left * TEST_EVERY < self.n):
+                # the rest of this list holds at most its next entry and at least its last
+                lower = np.concatenate([partial[entries[:half]], partial[rest] + more[-1]]) + least
+                upper = np.concatenate([partial[entries[:half]], partial[rest] + more[0]]) + most
+                out = upper < np.partition(lower, left - k)[left - k]
+                alive[entries[out]] = False
+                left -= int(out.sum())
+                open_ = alive[rest]
+                rest, more = rest[open_], more[open_]
+            partial[rest] += more
+            self.read += len(rest)
+            self.left.append(((nth + 1) / self.size, left / self.n))
+        found = np.flatnonzero(alive)
+        # ids are in order, so a stable order by falling score keeps ties
+        found = found[np.argsort(-partial[found], kind="stable")[:k]]
+        return [(int(self.ids[i]), int(partial[i])) for i in found]
+
+
+def _exactly(own: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k best in unbounded integers, each vector by itself."""
+    whole = [int(x) for x in query]
+    scores = ((max(-LONG - 1, min(LONG, sum(a * int(b) for a, b in zip(whole, v, strict=True)))), int(i)) for i, v in zip(ids, vectors, strict=True) if i != own)
+    return [(i, s) for s, i in heapq.nsmallest(k, scores, key=lambda x: (-x[0], x[1]))]
 
 
 def _search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     found: list[tuple[int, int, int]] = []
     if len(left) and len(right):
-        lists = Lists(right["vec_id"].to_numpy(), np.frombuffer(b"".join(right["vector"])).reshape(len(right), -1))
-        ids, queries = left["vec_id"].to_numpy(), np.frombuffer(b"".join(left["vector"])).reshape(len(left), -1)
-        for lo in range(0, len(ids), 256):
-            found += lists.best(ids[lo : lo + 256], queries[lo : lo + 256], BEST)
+        ids, vectors = right["vec_id"].to_numpy(), np.frombuffer(b"".join(right["vector"])).reshape(len(right), -1)
+        limit = WIDE / max(1.0, np.sqrt(vectors.shape[1] / 64))
+        wide = (np.abs(vectors) >= limit).any(axis=1)
+        lists = Lists(ids[~wide], vectors[~wide]) if not wide.all() else None
+        for own, raw in zip(left["vec_id"].to_numpy(), left["vector"], strict=True):
+            query = np.frombuffer(raw)
+            if lists is None or (np.abs(query) >= limit).any():
+                best = _exactly(own, query, ids, vectors, BEST)
+            else:
+                best = lists.best(own, query, BEST) + (_exactly(own, query, ids[wide], vectors[wide], BEST) if wide.any() else [])
+            found += [(int(own), i, s) for i, s in best]
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
@@ -120,7 +136,7 @@ def top_k(vectors: DataFrame, every: int = EVERY) -> DataFrame:
     """``vec_id, embedding`` to ``query_id, rank, vec_id, score``: the ``BEST`` highest scores of each query, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``every``, candidates all rows with another id. Vectors that are
-    null, empty or hold null or non-finite components, and rows with a null id, take no part; vectors of another
+    null, empty or hold null or non-finite components (or finite ones whose multiple isn't), and rows with a null id, take no part; vectors of another
     dimension than the query's are no candidates for it. Rows alike in id and vector count once; if an id has
     several vectors, each is a query and a candidate, and the id's best results come out, each id at most once.
     """
