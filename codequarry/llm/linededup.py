@@ -15,9 +15,8 @@ No pairs of occurrences are formed: an occurrence meets one row, the first of it
 third of all documents costs a row for each of its occurrences. Aggregates combine before their shuffles, and
 joins on a frequent window are plain equi-joins, which adaptive execution splits.
 
-With ``short_words``, a line of at least that many words is a window by itself too, so hot lines below ``MIN_WORDS``
-go whatever stands beside them. The pipeline's stage uses ``SHORT_WORDS``; the query doesn't, as its check SQL has no
-such windows.
+A line of at least ``short_words`` words is a window by itself too, so hot lines below ``MIN_WORDS`` go whatever stands
+beside them.
 """
 
 from __future__ import annotations
@@ -38,12 +37,12 @@ def _text_hash(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_words: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_words: int | None = SHORT_WORDS) -> DataFrame:
     """``doc_id, text`` to ``doc_id, hash, lines``: for each document with deletions, the numbers (from 0) of its deleted lines.
 
     Lines are compared without outer white space; lines without words are passed over, but go if they lie
-    within a deleted run. Documents are ordered by id (null first), then by the hash of their text. With
-    ``short_words``, whole lines from that many words up to ``min_words`` are windows too.
+    within a deleted run. Documents are ordered by id (null first), then by the hash of their text. Whole
+    lines from ``short_words`` words (None: none) up to ``min_words`` are windows too.
     """
     bare = F.transform(F.split(F.col("text"), "\n", -1), lambda s: F.regexp_replace(s, _TRIM, ""))
     facts = F.transform("_bare", lambda s, i: F.struct(i.alias("pos"), F.xxhash64(s).alias("hash"), F.xxhash64(F.lit(1), s).alias("more"), word_count(s).cast("int").alias("words")))
@@ -88,7 +87,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_words: int
     return gone.groupBy("doc_id", F.col("_text").alias("hash")).agg(F.array_sort(F.collect_set("pos")).alias("lines"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_words: int | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_words: int | None = SHORT_WORDS) -> DataFrame:
     """All columns and rows of ``docs`` with later repeated runs deleted from ``text``, and ``n_chars`` (if there) set anew.
 
     Null and empty texts stay as they are, and so do all documents without deletions, byte for byte. A document
@@ -136,7 +135,9 @@ windows AS (
   UNION ALL
   SELECT doc_id, k, 'back', total - upto, total,
     MIN(pos) OVER b, MAX(pos) OVER b, string_agg(line, chr(10)) OVER b
-  FROM sums WINDOW b AS (PARTITION BY k ORDER BY upto RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
+  FROM sums WINDOW b AS (PARTITION BY k ORDER BY upto RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)
+  UNION ALL
+  SELECT doc_id, k, 'line', 0, {MIN_WORDS}, pos, pos, line FROM sums WHERE words >= {SHORT_WORDS} AND words < {MIN_WORDS}),
 ranked AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY way, content ORDER BY doc_id NULLS FIRST, k, first) AS nth
   FROM windows WHERE total - begin >= {MIN_WORDS}),
