@@ -5,7 +5,8 @@ weight; no target passes three times its source's tokens, the excess going to th
 
 The mix consists of blocks of ``block_words`` tokens. They are given to sources by highest quotients
 target / (2k - 1), in that order; the sequence of blocks is cut into ``shards`` runs of equal length, so
-that every shard has an integer quota for each source and follows the targets by itself. A source's
+that every shard has an integer quota for each source and follows the targets by itself. A source that has all blocks it
+can fill gets the rest of its target as a short block after the last shard, so that sources of a few words are mixed too. A source's
 documents, in a seeded order, form an endless stream of tokens; the source's blocks are cut from it in
 turn, from a seeded start, so that a document is repeated only after all others of its source.
 
@@ -101,11 +102,15 @@ def _plan(docs: DataFrame, block_words: int, shards: int, seed: str) -> DataFram
     rows = settle(rows, "mix-sizes")
     sources = settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-sources")
     quotas = apportion(sources, block_words, shards).groupBy("nth").agg(F.sum("quota").alias("_blocks"))
+    # a source with all blocks that it can fill gets what is left of its target as a short last block
+    full = F.col("_blocks") >= F.floor(F.col("source_size") * MOST / block_words)
+    blocks = F.coalesce("_blocks", F.lit(0)) * block_words
+    words = F.when(full, F.greatest(blocks, F.floor(F.col("target")).cast("bigint"))).otherwise(blocks)
     start = F.coalesce(F.sum("source_size").over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     turn = F.conv(F.substring(seeded(F.col("source"), seed), 1, 8), 16, 10).cast("bigint")
     sources = sources.join(quotas, "nth", "left").select(
         "*",
-        (F.coalesce("_blocks", F.lit(0)) * block_words).alias("_words"),
+        words.alias("_words"),
         start.alias("_start"),
         F.when(F.col("source_size") > 0, turn % F.col("source_size")).otherwise(0).alias("_turn"),
     )
@@ -126,7 +131,7 @@ def mix_words(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHA
     """``doc_id, source, text`` to ``doc_id, size, source_size, target, taken``, one row per input row.
 
     ``taken`` counts the words that the mix takes from the document, repeats included; it never exceeds
-    three times the size, and a source's sum is its quota of blocks. Null or empty texts have size 0 and
+    three times the size, and a source's sum is its quota of blocks (and its short block). Null or empty texts have size 0 and
     nothing taken; a null source is a source of its own, the last; an empty table gives an empty one.
     Repeated rows are separate documents. The same table and seed give the same rows.
     """
@@ -199,12 +204,12 @@ lowered AS (
   SELECT nth, k, ROW_NUMBER() OVER (ORDER BY target / (2 * k - 1), nth DESC, k DESC) AS place
   FROM (SELECT nth, target, unnest(range(GREATEST(seats::BIGINT - 400, 1), seats::BIGINT + 1)) AS k FROM whole)),
 quotas AS (
-  SELECT w.nth, w.seats
+  SELECT w.nth, w.fit, w.seats
     + (SELECT COUNT(*) FROM raised r WHERE r.nth = w.nth AND r.place <= (SELECT more FROM short))
     - (SELECT COUNT(*) FROM lowered l WHERE l.nth = w.nth AND l.place <= -(SELECT more FROM short)) AS blocks
   FROM whole w),
 streams AS (
-  SELECT a.*, COALESCE(q.blocks, 0)::BIGINT * {BLOCK_WORDS} AS words,
+  SELECT a.*, CASE WHEN q.blocks >= q.fit THEN GREATEST(q.blocks::BIGINT * {BLOCK_WORDS}, floor(a.target)::BIGINT) ELSE COALESCE(q.blocks, 0)::BIGINT * {BLOCK_WORDS} END AS words,
     CASE WHEN source_size > 0 THEN ('0x' || substr(md5('{SEED}:' || COALESCE(source, '')), 1, 8))::BIGINT % source_size ELSE 0 END AS turn
   FROM aimed a LEFT JOIN quotas q ON q.nth = a.nth),
 placed AS (
