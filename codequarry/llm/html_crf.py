@@ -4,8 +4,8 @@ Each block is described by the tags around it, the words of their class names, a
 marks, position, tell-tale words); neighbouring labels depend on each other. The field is trained on labelled
 pages by maximum likelihood (forward-backward sums) and decoded by Viterbi.
 
-The labelled pages are of two kinds, both bounded: ``SAMPLE_PAGES`` pages of the input, labelled by their own
-semantic elements (a block inside article or main, and in nothing that names navigation, notices, adverts, forms or
+The labelled pages are of two kinds, both bounded: ``SAMPLE_PAGES`` pages of the input (whole ones, of up to
+``SAMPLE_BLOCKS`` blocks; read on the executors, which send features), labelled by their own semantic elements (a block inside article or main, and in nothing that names navigation, notices, adverts, forms or
 comments, is main text), and ``LAYOUT_PAGES`` pages in layouts of our own (with and without semantic elements)
 whose blocks are filled with passages of the sampled pages.
 """
@@ -25,6 +25,8 @@ from codequarry.llm.html_blocks import Block, blocks
 
 SAMPLE_PAGES = 200
 LAYOUT_PAGES = 500
+PASSAGE = 2000  # characters of a sampled passage that fill blocks of made-up pages
+SAMPLE_BLOCKS = 2000  # pages of the input with more blocks are not in the sample
 SEED = 3
 
 # Words of class names and of texts that tell blocks apart.
@@ -52,7 +54,7 @@ def describe(page: list[Block]) -> list[list[str]]:
         tags = {t for t, _ in block.path}
         names = {w for _, words in block.path for w in words}
         words = block.text.split(" ")
-        lower = {w.strip(".,:;!?()").lower() for w in words[:40]}
+        lower = {w.strip(".,:;!?()").lower() for w in words}
         found = [f"in {t}" for t in tags] + [f"own {block.path[-1][0] if block.path else ''}"]
         found += [f"named {w}" for w in names & ASIDE_WORDS] + [f"named {w}" for w in names & MAIN_WORDS] + [f"says {w}" for w in lower & TELLING]
         if names & NAMED_ASIDE:
@@ -86,14 +88,14 @@ class Field:
         index, emission = self.index, self.emission
         return np.array([emission[[index[n] for n in found if n in index]].sum(0) for found in describe(page)]).reshape(-1, 2)
 
-    def fit(self, pages: list[list[Block]], labels: list[list[int]], rounds: int = 150, rate: float = 0.1, ridge: float = 0.02) -> None:
-        """Maximum likelihood by Adam; all pages go through forward and backward sums side by side."""
+    def fit(self, pages: list[list[list[str]]], labels: list[list[int]], rounds: int = 150, rate: float = 0.1, ridge: float = 0.02) -> None:
+        """Maximum likelihood by Adam, on described pages; all go through forward and backward sums side by side."""
         longest, n = max(map(len, pages)), len(pages)
         rows, columns = [], []
         y, real = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
         for p, page in enumerate(pages):
             y[p, : len(page)], real[p, : len(page)] = labels[p], True
-            for i, found in enumerate(describe(page)):
+            for i, found in enumerate(page):
                 own = [self.index[x] for x in found if x in self.index]
                 rows += [p * longest + i] * len(own)
                 columns += own
@@ -254,17 +256,26 @@ def layouts(passages: list[str], count: int = LAYOUT_PAGES, seed: int = SEED) ->
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Field:
     """A field fitted on the driver, on a sample of pages (by the order of a hash) and on layouts filled with their passages."""
-    # the driver reads at most so many characters of a sampled page
-    given = pages.where("html is not null").select("page_id", "url", F.substring("html", 1, 30_000).alias("html"))
-    short = labelled.lowest(given, F.xxhash64(F.lit("sample"), "page_id", "url", F.length("html")), sample_pages).collect()
-    read = [blocks(r["html"]) for r in short]
-    known = [(page, own) for page in read if page and (own := own_labels(page)) is not None]
-    passages = [b.text for page, own in known for b, y in zip(page, own, strict=True) if y]
-    made, labels = layouts(passages)
-    every = [(p[:200], y[:200]) for p, y in [*known, *zip(made, labels, strict=True)]]
+    picked = labelled.lowest(pages.where("html is not null").select("page_id", "url", "html"), F.xxhash64(F.lit("sample"), "page_id", "url", F.length("html")), sample_pages)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for batch in batches:
+            for html in batch.column(0).to_pylist():
+                page = blocks(html)
+                own = own_labels(page) if len(page) <= SAMPLE_BLOCKS else None
+                if page and own is not None:
+                    out.append((describe(page), own, [b.text[:PASSAGE] for b, y in zip(page, own, strict=True) if y]))
+        kinds = (pa.list_(pa.list_(pa.string())), pa.list_(pa.int32()), pa.list_(pa.string()))
+        columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["found", "labels", "passages"])
+
+    known = picked.select("html").mapInArrow(described, "found array<array<string>>, labels array<int>, passages array<string>").orderBy(F.xxhash64("found", "labels")).collect()
+    made, labels = layouts([p for r in known for p in r["passages"]])
+    every = [(r["found"], r["labels"]) for r in known] + [(describe(p), y) for p, y in zip(made, labels, strict=True)]
     seen: dict[str, int] = {}
     for page, _ in every:
-        for found in describe(page):
+        for found in page:
             for name in found:
                 seen[name] = seen.get(name, 0) + 1
     field = Field(sorted(n for n, c in seen.items() if c >= 3))
