@@ -208,12 +208,13 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     reached = linked(classes)
 
     members = classes.join(reached, "node").select("component", "group", "digest", "node", "times", "unit")
+    deals = -(-reached.count() // (2 * TILE)) or 1  # groups of about two tiles' rows, however many there are
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     dealt = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("node", "digest"), F.col("tiles")).cast("int"))
     # each tile meets itself and all others once; components of one tile share groups by a hash
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     dealt = dealt.select("*", other).select(
-        F.when(F.col("tiles") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(256))).alias("deal"),
+        F.when(F.col("tiles") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(deals))).alias("deal"),
         F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
         (F.col("tile") > F.col("other")).cast("int").alias("side"),
         F.concat_ws("/", "component", "group").alias("component"), "node", "times", "unit",
