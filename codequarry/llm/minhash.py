@@ -100,6 +100,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "digest", "bands"],
             )
+    wordscan.give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +111,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "own"]
             )
+    wordscan.give_back()
 
 
 def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -122,6 +124,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> D
     """
     part, whole = similarity.numerator, similarity.denominator
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    wordscan.small_batches(rows.sparkSession)
     signed = settle(rows.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "signed")
     named = signed.where("doc_id is not null and digest is not null")
     classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"), F.count(F.lit(1)).alias("times"))

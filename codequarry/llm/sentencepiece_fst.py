@@ -259,6 +259,7 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
     that name. ``round_trip`` says whether decoding gives back the text, apart from marks that were in the text
     itself, which read as spaces. Texts of any length are encoded whole.
     """
+    wordscan.small_batches(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(load(model))
     others = [c for c in docs.columns if c not in ("text", "token_ids", "round_trip")]
     docs = docs.select(*others, "text")
@@ -277,6 +278,7 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
                     same = [t is None or own.decode(ids[a:b].tolist()) == t.replace(MARK, " ") for t, a, b in zip(texts, begin[:-1], begin[1:], strict=True)]
                     extra.append(pa.array(same))
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], *extra], [*others, "token_ids", *["round_trip"] * check])
+        wordscan.give_back()
 
     schema = docs.drop("text").schema.add("token_ids", T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(run, schema.add("round_trip", "boolean") if check else schema)

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ SAMPLE_ROWS = 30_000
 PARTS, FOLD = 4, 2
 THRESHOLD = 0.3
 BITS = 20
+STRETCH = 14
 PREFIXES = [3, 4, 5, 6, 7]
 PRIOR = 16.0
 DRIFT = 1.0
@@ -66,6 +68,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros((2, 2, 1 << STRETCH), np.int32)
+    at = rows["bucket"].to_numpy() & ((1 << STRETCH) - 1)
+    for i in (0, 1):
+        for h in (0, 1):
+            out[i, h, at] = rows[f"n{i}{h}"].to_numpy()
+    return pd.DataFrame({"stretch": rows["stretch"].iloc[:1], "counts": [out.tobytes()]})
+
+
 class Odds:
     """Token scores from counts per bucket; ``level`` counts are summed over all levels, which have buckets of their own."""
 
@@ -164,40 +175,52 @@ def squash(best: np.ndarray, total: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
     """The model: bucket counts, the extreme-value law and the logistic weights (None without both labels)."""
     spark = docs.sparkSession
+    wordscan.small_batches(spark)
     known = labelled.sample(docs, labels, "toxic", PARTS, FOLD, rows)
     counted = known.select("text", "label", "half").mapInArrow(_counts, "label int, half int, bucket long, n long")
     cell = [F.sum(F.when((F.col("label") == i) & (F.col("half") == h), F.col("n")).otherwise(0)).cast("int").alias(f"n{i}{h}") for i in (0, 1) for h in (0, 1)]
-    counted = counted.groupBy("bucket").agg(*cell).where("n00 + n01 + n10 + n11 > 1").toArrow()  # at most 2^BITS rows of 24 bytes
-    counts, bucket = np.zeros((2, 2, 1 << BITS), np.int32), counted["bucket"].to_numpy()
-    for i in (0, 1):
-        for h in (0, 1):
-            counts[i, h, bucket] = counted[f"n{i}{h}"].to_numpy()
-    del counted, bucket
+    counted = counted.groupBy("bucket").agg(*cell)
+    # all counts, as one row of packed numbers per stretch of buckets: 2^BITS * 16 bytes at most
+    stretch = F.shiftright("bucket", STRETCH).cast("int").alias("stretch")
+    packed = counted.select(stretch, "*").groupBy("stretch").applyInPandas(_packed, "stretch int, counts binary").collect()
+    counts = np.zeros((2, 2, 1 << BITS), np.int32)
+    for r in packed:
+        at = r["stretch"] << STRETCH
+        counts[:, :, at : at + (1 << STRETCH)] = np.frombuffer(r["counts"], np.int32).reshape(2, 2, -1)
+    del packed
     if not counts[0].any() or not counts[1].any():
         return None
     halves = spark.sparkContext.broadcast(counts)
 
-    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Odds(halves.value[1, 1 - h], halves.value[0, 1 - h]) for h in (0, 1)]
-        for batch in batches:
-            texts, half = wordscan.as_bytes(batch.column(0)), batch.column(2).to_numpy()
-            out = []
-            for lo, hi in wordscan.slices(texts):
-                words, buckets = features(texts.slice(lo, hi - lo))
-                per, scores = words.per_doc(), [m.tokens(buckets) for m in models]
-                for i in range(hi - lo):
-                    found = passages(scores[half[lo + i]][per[i] : per[i + 1]], buckets[-1][per[i] : per[i + 1]])
-                    out.append(([s for s, _, _ in found], int(per[i + 1] - per[i])))
-            columns = [batch.column(1), pa.array([x[1] for x in out], pa.int32()), pa.array([x[0] for x in out], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "length", "found"])
-
-    seen = known.select("text", "label", "half").mapInArrow(crossed, "label int, length int, found array<double>").toPandas()
-    found = [[(s, 0, 0) for s in f] for f in seen["found"]]
-    length, y = seen["length"].to_numpy(), seen["label"].to_numpy()
-    best = np.array([max((s for s, _, _ in f), default=0.0) for f in found])
+    def crossed(law: tuple[float, float] | None):
+        """Length and best segment of each text, by the model of the other half; with a law, its evidence."""
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models = [Odds(halves.value[1, 1 - h], halves.value[0, 1 - h]) for h in (0, 1)]
+            for batch in batches:
+                texts, half = wordscan.as_bytes(batch.column(0)), batch.column(2).to_numpy()
+                out = []
+                for lo, hi in wordscan.slices(texts):
+                    words, buckets = features(texts.slice(lo, hi - lo))
+                    per, scores = words.per_doc(), [m.tokens(buckets) for m in models]
+                    for i in range(hi - lo):
+                        found = passages(scores[half[lo + i]][per[i] : per[i + 1]], buckets[-1][per[i] : per[i + 1]])
+                        n = int(per[i + 1] - per[i])
+                        out.append((max((s for s, _, _ in found), default=0.0), float(n)) if law is None else _evidence(n, found, law))
+                columns = [batch.column(1), *(pa.array([x[k] for x in out], pa.float64()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "x", "y"])
+            wordscan.give_back()
+
+        return scored
+
+    def facts(law: tuple[float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        seen = known.select("text", "label", "half").mapInArrow(crossed(law), "label int, x double, y double").toArrow()  # 20 bytes a row
+        return tuple(seen[c].to_numpy() for c in ("label", "x", "y"))
+
+    y, best, length = facts(None)
     law = gumbel(best[(y == 0) & (best > 0)], length[(y == 0) & (best > 0)])
-    facts = np.array([_evidence(n, f, law) for n, f in zip(length, found, strict=True)])
-    weights = logistic(squash(facts[:, 0], facts[:, 1]), y)
+    y, strongest, total = facts(law)
+    weights = logistic(squash(strongest, total), y)
     halves.destroy()
     toxic, clean = counts[1].sum(0, dtype=np.int32), counts[0].sum(0, dtype=np.int32)
     return spark.sparkContext.broadcast((toxic, clean, law, weights))
@@ -212,8 +235,8 @@ class Judge:
             toxic, clean, self.law, self.weights = model.value
             self.odds = Odds(toxic, clean)
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
-        """The probability of each text, and its significant passages (bytes of the text, end exclusive)."""
+    def read(self, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, list[list[dict]]]:
+        """The probability of each text, and (with ``spans``) its significant passages (bytes of the text, end exclusive)."""
         significant: list[list[dict]] = [[] for _ in range(len(texts))]
         if not self.known:
             return np.zeros(len(texts)), significant
@@ -225,7 +248,7 @@ class Judge:
                 a, b = int(per[i]), int(per[i + 1])
                 found = passages(scores[a:b], buckets[-1][a:b])
                 facts[lo + i] = _evidence(b - a, found, self.law)
-                for s, first, last in found:
+                for s, first, last in found if spans else ():
                     chance = self.law[1] * (b - a) * np.exp(-self.law[0] * s)
                     if chance <= MOST_PASSAGES:
                         span = (words.start[a + first] - words.bounds[i], words.end[a + last] - words.bounds[i])
@@ -249,6 +272,7 @@ def score(docs: DataFrame, model) -> DataFrame:
             chance, found = judge.read(batch.column(1))
             columns = [batch.column(0), pa.array(chance), pa.array([len(p) for p in found], pa.int32()), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "n_passages", "passages"])
+        wordscan.give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, score double, n_passages int, passages array<struct<start:bigint,end:bigint,chance:double>>"
@@ -273,6 +297,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model)
         for batch in batches:
-            yield batch.filter(pa.array(judge.read(batch.column(at))[0] < THRESHOLD))
+            yield batch.filter(pa.array(judge.read(batch.column(at), spans=False)[0] < THRESHOLD))
+        wordscan.give_back()
 
     return docs.mapInArrow(kept, docs.schema)

@@ -6,6 +6,7 @@ over its bytes. Memory beyond the batch is bounded by ``CHUNK`` bytes and the wo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
-SLICE = 3 << 20
+SLICE = 512 << 10
+BATCH = "8m"
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -59,6 +61,22 @@ def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def small_batches(spark) -> None:
+    """Have Spark send rows to Python in batches of a few megabytes; the setting holds for the session."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != BATCH:
+        spark.conf.set(name, BATCH)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, for a worker that goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def as_bytes(texts: pa.Array) -> pa.Array:
     return texts.cast(pa.large_binary())
 

@@ -115,7 +115,7 @@ def test_ranks_and_cuts_equal_counting(texts, draw):
         pieces = [re.findall(pattern, t) for t in texts]
         n = matrix.count(wanted, bounds[1:]) - matrix.count(wanted, bounds[:-1])
         assert n.tolist() == [len(p) for p in pieces]
-        units = draw % (n + 1)
+        units = np.int64(draw) % (n + 1)
         cut = matrix.cut(wanted, bounds[:-1], bounds[1:], units)
         assert [data[a:b].tobytes().decode() for a, b in zip(bounds, cut, strict=False)] == ["".join(p[:u]) for p, u in zip(pieces, units, strict=True)]
 

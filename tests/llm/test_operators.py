@@ -183,22 +183,64 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_bounded_lists_prune_and_keep_ties():
+def test_lists_keep_ties_and_exactness():
     rng = np.random.default_rng(3)
     vectors_ = np.floor(rng.normal(size=(4000, 12)) * 40)
     vectors_[100:120] = vectors_[3]
     ids = rng.permutation(4000)
     lists = topk.Lists(ids, vectors_)
-    queries = vectors_[[3, 7, 9]]
-    own = ids[[3, 7, 9]]
+    for q in (3, 7, 9):
+        want = sorted((-int(vectors_[q] @ w), int(i)) for i, w in zip(ids, vectors_, strict=True) if i != ids[q])[:5]
+        assert lists.best(int(ids[q]), vectors_[q], 5) == [(i, -s) for s, i in want]
+    assert topk.Lists(ids[:3], vectors_[:3]).best(-1, vectors_[5], 5) == [(i, s) for s, i in sorted(((int(vectors_[5] @ w), int(i)) for i, w in zip(ids[:3], vectors_, strict=False)), key=lambda x: (-x[0], x[1]))]
+
+
+def test_bounds_stop_the_reading_on_the_given_table(spark):
+    """At most one in twenty vectors is left before the last eighth of the lists, and dropped ones are read no more."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    vectors_ = np.floor(256 * np.array([r["embedding"] for r in rows], float))
+    ids = np.array([r["vec_id"] for r in rows])
+    lists = topk.Lists(ids, vectors_)
+    asked = np.flatnonzero(ids % 50 == 0)
+    left, reads = [], []
+    for q in asked:
+        before = lists.read
+        got = lists.best(int(ids[q]), vectors_[q], 5)
+        scores = vectors_ @ vectors_[q]
+        scores[q] = -np.inf
+        assert [s for _, s in got] == sorted(scores, reverse=True)[:5]
+        left.append(max(share for read, share in lists.left if read >= 7 / 8))
+        reads.append((lists.read - before) / vectors_.size)
+        after = [share for _, share in lists.left]
+        assert after == sorted(after, reverse=True)
+        # each list is read for the vectors left when it was begun, at most
+        assert lists.read - before <= sum(round(share * len(ids)) for share in [1 - 1 / len(ids), *after[:-1]])
+    assert np.mean(left) <= 0.05 and np.mean(reads) < 0.9
+
+
+def test_huge_components_have_defined_scores(spark):
+    rows = [(0, [1e200, 1.0]), (50, [1.0, 2.0]), (1, [-1e200, 0.5]), (2, [1e305, 1.0]), (3, [1e307, 1.0]), (4, [2.0**40, 1.0]), (5, [3.0, 3.0])]
     got = {}
-    for q, i, s in lists.best(own, queries, 5):
-        got.setdefault(q, []).append((-s, i))
-    for q, v in zip(own, queries, strict=True):
-        assert got[q] == sorted((-int(v @ w), int(i)) for i, w in zip(ids, vectors_, strict=True) if i != q)[:5]
-    lower, upper = lists.bounds(np.maximum(queries, 0), np.minimum(queries, 0), 200)
-    exact = queries @ lists.vectors.T
-    assert (lower <= exact).all() and (exact <= upper).all()
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    top, unit = 2**63 - 1, 256
+    assert got[50][:4] == [(0, top), (2, top), (4, unit * unit * 2**40 + 2 * unit * unit), (5, unit * unit * 9)]
+    assert got[50][4:] == [(1, -(2**63))]  # the multiple of 1e307 is not finite: it takes no part
+    assert [i for i, _ in got[0]] == [2, 4, 5, 50, 1]
+
+
+def test_tiny_sources_are_mixed_up_to_three_times(spark):
+    rng = random.Random(12)
+    rows = [(i, "big", prose(rng, 40)) for i in range(60)] + [(100, "t5", prose(rng, 5)), (101, "t7", prose(rng, 3)), (102, "t7", prose(rng, 4)), (103, "u0", None), (104, "z1", "one")]
+    got = mixing.mix_words(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["target"], []).append(r)
+        assert r["taken"] <= 3 * r["size"]
+    taken = {}
+    for r, (_, source, _) in zip(sorted(got, key=lambda r: r["doc_id"]), rows, strict=True):
+        taken[source] = taken.get(source, 0) + r["taken"]
+    assert (taken["t5"], taken["t7"], taken["u0"], taken["z1"]) == (15, 21, 0, 3)
 
 
 # ---- near duplicates
@@ -271,8 +313,8 @@ def test_minhash_odd_rows(odd, empty):
 # ---- lines
 
 
-def brute_lines(rows, least):
-    """A line goes if it lies in a stretch of at least ``least`` words that an earlier place has too."""
+def brute_lines(rows, least, short=linededup.SHORT_WORDS):
+    """A line goes if it lies in a stretch of at least ``least`` words, or has ``short`` by itself, that an earlier place has too."""
 
     def key(i, t):
         value = xxhash.xxh64_intdigest((t or "").encode(), 42)
@@ -293,6 +335,7 @@ def brute_lines(rows, least):
                         part.sort()
                         grams.append(((d, part[0][0]), way, tuple(s for _, s in part), [n for n, _ in part]))
                         break
+        grams += [((d, n), "line", (s,), [n]) for n, s in lines if short is not None and short <= len(s.split()) < least]
     for (d, _), way, content, numbers in sorted(grams, key=lambda g: g[0]):
         if (way, content) in seen:
             gone.update((d, n) for n in range(numbers[0], numbers[-1] + 1))
@@ -326,6 +369,12 @@ def test_line_dedup_odd_rows(odd, empty):
     assert linededup.drop_repeated_lines(empty).count() == 0
 
 
+def test_only_long_runs_without_short_words(spark):
+    rows = [(i, "five words make this line\nown line " + "x" * i) for i in range(4)]
+    got = linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), short_words=None).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == brute_lines(rows, linededup.MIN_WORDS, None) == rows
+
+
 def test_long_passage_stays_once(spark):
     passage = prose(random.Random(1), 60)
     rows = [(i, f"own {i}\n{passage}\nend {i}") for i in range(5)]
@@ -557,7 +606,7 @@ def test_layouts_held_out_and_viterbi():
     pages, labels = html_crf.layouts(passages, 200, seed=1)
     seen = sorted({n for p in pages for f in html_crf.describe(p) for n in f})
     field = html_crf.Field(seen)
-    field.fit(pages, labels, rounds=80)
+    field.fit([html_crf.describe(p) for p in pages], labels, rounds=80)
     others, truth = html_crf.layouts(passages, 80, seed=2)
     right = sum(a == b for p, y in zip(others, truth, strict=True) for a, b in zip(field.decode(p), y, strict=True))
     assert right / sum(map(len, truth)) > 0.98
