@@ -119,3 +119,19 @@ def look_ahead(
     work = df.withColumn("_home", home).withColumn("_chunk", F.explode(seen))
     window = Window.partitionBy(*keys, "_chunk").orderBy(order)
     return build(work, window).where("_chunk = _home")
+
+
+def place_in_group(df: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """Add the place (from 1) of each row in its group's order, for groups of any size.
+
+    Rows are range-partitioned by group and order; a row's place is its place in its partition plus the rows of its group
+    in earlier partitions. Only one row per partition and group goes through a window of the whole group. Rows that tie
+    get their places in no fixed order.
+    """
+    placed = settle(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "places")
+    count = placed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_before"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = count.select(group, "_part", F.coalesce(F.sum("_before").over(earlier), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order))
+    out = placed.withColumn("_here", here).join(before, [group, "_part"])
+    return out.withColumn(name, F.col("_before") + F.col("_here")).drop("_part", "_here", "_before")

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.functions.scan import place_in_group
 from codequarry.operators.graph import file_words
+from codequarry.sources.store import settle
 
 TYPE_KINDS = ("struct", "interface", "message", "service", "enum")
 MIN_SCORE = 0.001
@@ -106,19 +108,60 @@ def func_call_edges(nodes: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def decl_edges(nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """All candidate links: references, co-location, service -> message."""
+    """All candidate links: references, co-location, service -> message. Written as pairs; ``best_links`` goes without."""
     found = decl_ref_edges(nodes, lines).unionByName(colocation_edges(nodes)).unionByName(service_message_edges(nodes, lines))
     return found.groupBy("service", "src", "dst").agg(F.max("dst_score").alias("dst_score"))
 
 
-def cap_out_edges(nodes: DataFrame, links: DataFrame, out_cap: int = 5, per_node: int = 3, least: int = 10) -> DataFrame:
-    """Best ``out_cap`` targets per source, then at most max(least, per_node * nodes) links per service."""
-    best = Window.partitionBy("service", "src").orderBy(F.desc(F.round("dst_score", 12)), "dst")
-    kept = links.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= out_cap)
+def _by_score():
+    return F.desc(F.round("dst_score", 12)), F.asc("dst")
+
+
+def _first(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The best ``n`` targets per key."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*_by_score()))).where(F.col("_n") <= n).drop("_n")
+
+
+def best_links(nodes: DataFrame, lines: DataFrame, out_cap: int = 5, least: int = 2, most: int = 20) -> DataFrame:
+    """The best ``out_cap`` of ``decl_edges`` per source, with their ``place``, found without writing out its pairs.
+
+    A node's id holds its file and name, so of a word's targets at most one lies in a given file, and all
+    nodes of a file leave out the same targets but for those of their own name. Therefore ``out_cap`` + 1 targets per (service, word)
+    are enough for any file; of those, the first 2 * ``out_cap`` + 1 of a file are enough for any of its nodes, whose own name
+    takes away at most ``out_cap`` + 1. Only these are joined to the nodes, so rows are in proportion to words of files and to nodes.
+    """
+    named = nodes.select("service", "id", "file", "name", "kind", "score")
+    to = named.where(F.octet_length("name") >= 5).select(
+        "service", F.col("name").alias("word"), F.col("id").alias("dst"), F.col("file").alias("dst_file"), "kind", F.col("score").alias("dst_score")
+    )
+    to_any = _first(to.drop("kind").distinct(), ["service", "word"], out_cap + 1)
+    to_message = _first(to.where("kind = 'message'").drop("kind").distinct(), ["service", "word"], out_cap)
+    holders = named.select("service", "file").distinct()
+    words = file_words(lines, 5).join(to.select("word").distinct(), "word", "left_semi")
+    words = settle(words.withColumnRenamed("id", "file").join(holders, "file"), "holder-words")
+    sources = named.select("service", "file", F.col("id").alias("src"), F.col("name").alias("src_name")).distinct()
+    link = ["service", "src", "dst", "dst_score"]
+
+    def mentioned(targets: DataFrame) -> DataFrame:
+        return words.join(targets, ["service", "word"])
+
+    refs = _first(mentioned(to_any).where("dst_file <> file"), ["service", "file"], 2 * out_cap + 1)
+    refs = refs.join(sources, ["service", "file"]).where("word <> src_name").select(*link)
+    with_services = sources.join(named.where("kind = 'service'").select(F.col("id").alias("src"), "service").distinct(), ["service", "src"], "left_semi")
+    messages = _first(mentioned(to_message), ["service", "file"], out_cap).join(with_services, ["service", "file"]).select(*link)
+    size = nodes.groupBy("service", "file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most)).drop("n")
+    inside = named.join(size, ["service", "file"], "left_semi").select("service", "file", F.col("id").alias("dst"), F.col("name").alias("word"), F.col("score").alias("dst_score"))
+    near = _first(inside.distinct(), ["service", "file"], out_cap + 1).join(sources, ["service", "file"]).where("word <> src_name").select(*link)
+    found = refs.unionByName(messages).unionByName(near).groupBy("service", "src", "dst").agg(F.max("dst_score").alias("dst_score"))
+    place = F.row_number().over(Window.partitionBy("service", "src").orderBy(*_by_score()))
+    return found.withColumn("place", place).where(F.col("place") <= out_cap)
+
+
+def cap_out_edges(nodes: DataFrame, best: DataFrame, per_node: int = 3, least: int = 10) -> DataFrame:
+    """The first max(least, per_node * nodes) links per service, in the order of source and target, with their ``place_in_service``."""
     quota = nodes.groupBy("service").agg(F.greatest(F.lit(least), per_node * F.count(F.lit(1))).alias("quota"))
-    overall = Window.partitionBy("service").orderBy("src", "dst")
-    kept = kept.withColumn("_m", F.row_number().over(overall)).join(quota, "service").where("_m <= quota")
-    return kept.select("service", "src", "dst")
+    placed = place_in_group(best.select("service", "src", "dst"), "service", ["src", "dst"], "place_in_service")
+    return placed.join(quota, "service").where("place_in_service <= quota").drop("quota")
 
 
 def drop_orphans(nodes: DataFrame, links: DataFrame) -> DataFrame:

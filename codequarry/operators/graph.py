@@ -7,13 +7,20 @@ line_count; ``imports``: id, import; ``declarations``: id, service, pos, name, k
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text
-from codequarry.sources.store import settle
+from codequarry.sources.store import discard, settle
 
-HUB_EDGES = 100_000
+BLOCK_ROWS = 65_536
+PACK_LINKS = 1 << 18
 REF_KINDS = ("struct", "interface", "message", "service")
 
 
@@ -92,62 +99,116 @@ def degrees(vertex: DataFrame, edge: DataFrame) -> DataFrame:
     return ends.unionByName(zero).groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def _pack(links: pd.DataFrame) -> pd.DataFrame:
+    """The links of a pair of blocks (and a salt) as numbers: each link as the places of its source and target in lists."""
+    sources, s = np.unique(links["s"].to_numpy(), return_inverse=True)
+    targets, t = np.unique(links["t"].to_numpy(), return_inverse=True)
+    share = np.empty(len(sources))
+    share[s] = 1.0 / links["out_degree"].to_numpy()
+    arrays = (sources.astype(np.int32), share, targets.astype(np.int32), s.astype(np.int32), t.astype(np.int32))
+    out = links.iloc[:1][["sb", "salt", "db"]]
+    return out.assign(**{name: [x.tobytes()] for name, x in zip(("sources", "share", "targets", "s", "t"), arrays, strict=True)})
+
+
+def _give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each packed row gives to its targets, summed per target."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            sources, targets, s, t = (np.frombuffer(r[c], np.int32) for c in ("sources", "targets", "s", "t"))
+            given = np.frombuffer(r["scores"])[sources] * np.frombuffer(r["share"])
+            columns = [pa.array([r["db"]], pa.int32()), pa.array([r["targets"]], pa.binary()), pa.array([np.bincount(t, given[s], len(targets)).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "targets", "given"])
+
+
+def _take(base: float, damping: float, block_rows: int):
+    """Scores of the blocks that come to this task, whose partial sums pass by one after the other."""
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, targets, given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = total.setdefault(block, np.zeros(block_rows))
+                own[np.frombuffer(targets, np.int32)] += np.frombuffer(given)
+        for block, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(base + damping * own).tobytes()], pa.binary())], ["sb", "scores"])
+
+    return taken
+
+
+@contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """No new plan after each stage: rounds are alike and their tables' sizes known, so replanning only costs time."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, scores in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            values = np.frombuffer(scores)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), block, np.int32)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["block", "at", "score"])
+
+
 def pagerank(
     vertex: DataFrame,
     edge: DataFrame,
     damping: float = 0.85,
     iterations: int = 100,
-    settle_every: int = 5,
-    hub_edges: int = HUB_EDGES,
+    settle_every: int = 4,
+    block_rows: int = BLOCK_ROWS,
+    pack_links: int = PACK_LINKS,
 ) -> DataFrame:
     """Scores after a fixed number of rounds from 1/n; the share of vertices without out-edges is lost.
 
-    Vertices get 64-bit numbers once. Links are partitioned once by (source, salt) and kept sorted: a source
-    has one salt per ``hub_edges`` out-edges, so that a hub's links spread over tasks. Only vertices with
-    in-edges change after the first round; the others keep the base score, so what they give to a target
-    is one constant row. A round moves scores to their links (one row, or one per salt of a hub), joins
-    without moving links, and sums per target, partially before the shuffle. Scores are written to the
-    shared folder every ``settle_every`` rounds, which bounds the plan and what is computed again.
+    Vertices get a block of about ``block_rows`` and a place in it. Links are packed once: one row of numbers per pair
+    of blocks and salt, with a salt, a hash of the target, for every ``pack_links`` links of a block; so a hub's links
+    spread over rows and tasks. Scores are one row per block. A round joins them to the packed rows (which stay where they
+    are), sums what each packed row gives to each of its targets, and adds these sums per block as they stream by: no link
+    is sorted, joined or shuffled after packing. Scores go to the shared folder every ``settle_every`` rounds, which bounds
+    the plan and what is computed again; the table before is deleted then.
     """
     spark = vertex.sparkSession
-    vertex = settle(vertex.select("id").distinct().withColumn("v", F.monotonically_increasing_id()), "rank-vertices")
+    vertex = vertex.select("id").distinct()
     n = vertex.count()
     base, start = (1.0 - damping) / max(n, 1), 1.0 / max(n, 1)
     if n == 0 or iterations < 1:
         return vertex.select("id", F.lit(start).alias("score"))
-    numbered = edge.join(vertex.select(F.col("id").alias("src"), F.col("v").alias("s")), "src")
-    numbered = numbered.join(vertex.select(F.col("id").alias("dst"), F.col("v").alias("t")), "dst").select("s", "t")
-    out_deg = edge.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree")).join(vertex.withColumnRenamed("id", "src"), "src")
-    out_deg = out_deg.select(F.col("v").alias("s"), "out_degree", F.ceil(F.col("out_degree") / hub_edges).cast("int").alias("salts"))
-    numbered = numbered.join(out_deg, "s").join(out_deg.select(F.col("s").alias("t"), F.col("salts").alias("t_salts")), "t", "left")
-    salt = F.pmod(F.xxhash64("t"), F.col("salts")).cast("int")
-    links = settle(numbered.select("s", salt.alias("salt"), "out_degree", "t", F.coalesce("t_salts", F.lit(1)).alias("t_salts")), "rank-links")
-    fed = links.select(F.col("t").alias("s")).distinct()
-    constant = settle(
-        links.join(fed, "s", "left_anti")
-        .select("t", "t_salts", (base / F.col("out_degree")).alias("part"))
-        .unionByName(links.select("t", "t_salts", F.lit(0.0).alias("part")).distinct())
-        .groupBy("t", "t_salts")
-        .agg(F.sum("part").alias("part")),
-        "rank-constant",
-    )
+    blocks = -(-n // block_rows)
+    numbered = vertex.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
+    numbered = settle(numbered.withColumn("at", place.cast("int")), "rank-vertices")
+    wide = numbered.groupBy("block").count().agg(F.max("count")).first()[0]
+    source = numbered.select(F.col("id").alias("src"), F.col("block").alias("sb"), F.col("at").alias("s"))
+    target = numbered.select(F.col("id").alias("dst"), F.col("block").alias("db"), F.col("at").alias("t"))
+    degree = edge.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
+    links = settle(edge.join(source.join(degree, "src"), "src").join(target, "dst").select("sb", "db", "s", "t", "out_degree"), "rank-links")
+    size = settle(links.groupBy("sb").agg(F.ceil(F.count(F.lit(1)) / pack_links).cast("int").alias("salts")), "rank-salts")
+    salted = links.join(size, "sb").withColumn("salt", F.pmod(F.xxhash64("db", "t"), F.col("salts")).cast("int")).drop("salts")
+    schema = "sb int, salt int, db int, sources binary, share binary, targets binary, s binary, t binary"
+    packed = settle(salted.groupBy("sb", "salt", "db").applyInPandas(_pack, schema), "rank-packed")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    moving = links.join(fed, "s", "left_semi").select("s", "salt", "t", "t_salts", "out_degree")
-    kept = moving.repartition(parts, "s", "salt").sortWithinPartitions("s", "salt").persist()
-
-    def score(parts_in: DataFrame) -> DataFrame:
-        got = (F.lit(base) + damping * F.sum("part")).alias("score")
-        return parts_in.groupBy(F.col("t").alias("s")).agg(got, F.max("t_salts").alias("salts"))
-
-    scores = settle(score(links.select("t", "t_salts", (start / F.col("out_degree")).alias("part"))), "rank-1")
-    for step in range(2, iterations + 1):
-        sent = scores.select("s", "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        flow = kept.join(sent, ["s", "salt"]).select("t", "t_salts", (F.col("score") / F.col("out_degree")).alias("part"))
-        scores = score(flow.unionByName(constant))
-        if step % settle_every == 0 or step == iterations:
-            scores = settle(scores, f"rank-{step}")
+    every = numbered.select("block").distinct().select("block", F.lit(b"").alias("targets"), F.lit(b"").alias("given"))
+    every = settle(every, "rank-blocks")
+    first = every.select(F.col("block").alias("sb"), F.lit(np.full(wide, start).tobytes()).alias("scores"))
+    scores, written = settle(first, "rank-scores"), None
+    with planned_once(spark):
+        kept = packed.repartition(parts, "sb", "salt").persist()
+        for step in range(1, iterations + 1):
+            sent = scores.join(size, "sb").select("sb", "scores", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+            flow = kept.join(sent.hint("shuffle_hash"), ["sb", "salt"]).select("db", "sources", "share", "targets", "s", "t", "scores").mapInArrow(_give, "block int, targets binary, given binary").unionByName(every)
+            scores = flow.repartition(min(parts, blocks), "block").mapInArrow(_take(base, damping, wide), "sb int, scores binary")
+            if step % settle_every == 0 or step == iterations:
+                before, scores = written, settle(scores, "rank-scores")
+                written = scores
+                if before is not None:
+                    discard(before)
     kept.unpersist()
-    return vertex.join(scores.withColumnRenamed("s", "v"), "v", "left").select("id", F.coalesce("score", F.lit(base)).alias("score"))
+    return numbered.join(scores.mapInArrow(_unpack, "block int, at int, score double"), ["block", "at"]).select("id", "score")
 
 
 def _rank_key():

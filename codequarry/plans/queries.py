@@ -241,7 +241,7 @@ query("func_call_edges")(lambda c: dg.func_call_edges(c.nodes, c.id_lines).selec
 
 
 def _kept(c: Codebase) -> tuple[DataFrame, DataFrame]:
-    return c.nodes, dg.cap_out_edges(c.nodes, dg.decl_edges(c.nodes, c.id_lines))
+    return c.nodes, dg.cap_out_edges(c.nodes, dg.best_links(c.nodes, c.id_lines)).select(*_L)
 
 
 query("cap_out_edges")(lambda c: _kept(c)[1])

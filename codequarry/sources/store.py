@@ -41,6 +41,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``settle`` wrote and that no plan reads any more."""
+    context = table.sparkSession.sparkContext
+    for path in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        if "/codequarry/" in path:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_mart(df: DataFrame, path: str, run_date: str, partition_by: tuple[str, ...] = ()) -> str:
     """Write one mart, partitioned by run date (and more columns if named); reruns replace their date."""
     from pyspark.sql import functions as F

@@ -128,7 +128,7 @@ def test_degrees_and_pagerank(spark):
 
     cycle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "b")], "src string, dst string")
     plain = {r["id"]: r["score"] for r in graph.pagerank(vertex, cycle, iterations=12).collect()}
-    salted = {r["id"]: r["score"] for r in graph.pagerank(vertex, cycle, iterations=12, hub_edges=1).collect()}
+    salted = {r["id"]: r["score"] for r in graph.pagerank(vertex, cycle, iterations=12, block_rows=2, pack_links=1).collect()}
     score = dict.fromkeys("abcd", 0.25)
     for _ in range(12):
         score = {v: 0.15 / 4 + 0.85 * sum(score[s] for s, d in (("a", "b"), ("b", "c"), ("c", "a"), ("d", "b")) if d == v) for v in score}
@@ -146,7 +146,7 @@ def test_pagerank_hub_is_salted(spark):
     ids = ["hub"] + [f"n{i}" for i in range(30)]
     vertex = spark.createDataFrame([(x,) for x in ids], "id string")
     edge = spark.createDataFrame(pairs, "src string, dst string").distinct()
-    got = {r["id"]: r["score"] for r in graph.pagerank(vertex, edge, iterations=5, hub_edges=4).collect()}
+    got = {r["id"]: r["score"] for r in graph.pagerank(vertex, edge, iterations=5, block_rows=3, pack_links=4).collect()}
     links = set(pairs)
     out = {v: sum(s == v for s, _ in links) for v in ids}
     score = dict.fromkeys(ids, 1 / 31)
