@@ -9,8 +9,10 @@ Signatures are cut into bands. With 40 bands of 5, a pair at similarity 0.8 shar
 times, one at 0.85 once in 10^10. Texts with the same shingle set are one class and represented by the smallest id.
 
 All representatives that share a band are compared on full shingle sets, unless they are connected already:
-in two rounds, members are compared with centres of their buckets, and components are found anew after each. In a
-bucket of up to 32 all members are centres; a larger one has one centre in the first round and four in the second,
+in three rounds, members are compared with centres of their buckets, and components are found anew after each. The
+first round reads four bands only: near copies share most of their bands, so nearly all are connected by then, and
+the later rounds, over all bands, don't pair them with the same centre once per band. In a
+bucket of up to 32 all members are centres; a larger one has one centre in the first two rounds and four in the third,
 those with most links, such as the text that others were copied from. What is then not in one component is a
 large bucket with texts that lie apart: its members are dealt into tiles of bounded size, and each pair of tiles is
 compared as two matrices. No pairs are written out, and no pair that shares a band and could join two groups is left
@@ -37,7 +39,7 @@ WORDS = 5
 BANDS, ROWS = 40, 5
 CIRCLE = 20
 SMALL = 32
-CENTRES = (1, 4)
+ROUNDS = ((4, 1), (BANDS, 1), (BANDS, 4))  # bands read and centres of a large bucket
 TILE_ROWS, TILE_SHINGLES = 1500, 300_000
 _STEP = 512
 
@@ -144,8 +146,8 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> D
     union = F.size("own_a") + F.size("own_b") - common
 
     reached = _reached(found)
-    for centres in CENTRES:
-        placed = _unsettled(active, reached)
+    for first_bands, centres in ROUNDS:
+        placed = _unsettled(active.where(F.col("band") < first_bands), reached)
         slot = F.when(F.col("c") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(centres)))
         placed = settle(placed.withColumn("slot", slot), "buckets")
         best = F.max_by(F.struct("node", "n", "component"), F.struct("degree", -F.col("node")))
@@ -159,7 +161,8 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> D
         links = settle(links.where(common * whole >= union * part).select("a", "b"), "links")
         found = found.unionByName(links)
         reached = _reached(found)
-        active = placed.where(F.col("c") > SMALL).select("node", "n", "band", "value")  # small buckets are done
+        rest = placed.where(F.col("c") > SMALL).select("node", "n", "band", "value")  # small buckets are done
+        active = rest.unionByName(active.where(F.col("band") >= first_bands).select(*rest.columns))
 
     left = _unsettled(active, reached).select("band", "value", "node", "component", F.greatest(F.ceil(F.col("c") / TILE_ROWS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("tiles"))
     left = left.join(near, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -169,8 +172,8 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5)) -> D
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         return _tile_links(rows, part, whole)
 
-    rest = left.groupBy("band", "value", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
-    reached = _reached(found.unionByName(settle(rest, "links")))
+    last = left.groupBy("band", "value", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
+    reached = _reached(found.unionByName(settle(last, "links")))
     homes = classes.select("digest", "node").join(reached, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(homes, "digest", "left")
     component = F.coalesce("component", "doc_id")
