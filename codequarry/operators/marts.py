@@ -119,23 +119,29 @@ def service_penetration(files: DataFrame, imports: DataFrame, n: int = 20) -> Da
     return lists.select("target", "dependents", "importers")
 
 
+ANCHOR = 3
+
+
+def _pieces(src: Column, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(src) - n + 1), lambda i: F.substring(src, i, n))
+
+
 def substring_join(left: DataFrame, text_col: str, right: DataFrame, needle_col: str) -> DataFrame:
     """Pairs where the needle occurs in the text, as an equality join.
 
-    The lengths of the needles are few; each text emits its distinct substrings of those lengths, so
-    the work is text length times number of lengths instead of texts times needles.
+    Each needle is looked up by one piece of ``ANCHOR`` characters (all of it if shorter), the one that fewest needles
+    have. Texts meet the needles whose piece they hold, and only those are searched for the whole needle, so what a text
+    emits doesn't grow with the number of needle lengths. Null texts and null or empty needles pair with nothing.
     """
-    sizes = right.select(F.length(needle_col).alias("n")).where("n > 0").distinct()
-    sizes = sizes.agg(F.sort_array(F.collect_list("n")).alias("_sizes"))  # one row of distinct lengths
+    needles = right.select(needle_col).where(F.length(needle_col) > 0).distinct()
+    parts = needles.select(needle_col, F.explode(F.array_distinct(_pieces(F.col(needle_col), F.least(F.length(needle_col), F.lit(ANCHOR))))).alias("_anchor"))
+    held = parts.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_held"))
+    anchors = parts.join(held, "_anchor").groupBy(needle_col).agg(F.min_by("_anchor", F.struct("_held", "_anchor")).alias("_anchor"))
     src = F.col(text_col)
-    grams = F.flatten(
-        F.transform(
-            F.filter("_sizes", lambda n: n <= F.length(src)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(src) - n + 1), lambda i: F.substring(src, i, n)),
-        )
-    )
-    pieces = left.crossJoin(F.broadcast(sizes)).withColumn(needle_col, F.explode(F.array_distinct(grams))).drop("_sizes")
-    return pieces.join(right, needle_col)
+    sizes = F.filter(F.array(*[F.lit(n) for n in range(1, ANCHOR + 1)]), lambda n: n <= F.length(src))
+    grams = F.flatten(F.transform(sizes, lambda n: _pieces(src, n)))
+    met = left.withColumn("_anchor", F.explode(F.array_distinct(grams))).join(anchors, "_anchor").drop("_anchor")
+    return met.where(F.contains(src, F.col(needle_col))).join(right, needle_col)
 
 
 def todo_density(files: DataFrame) -> DataFrame:

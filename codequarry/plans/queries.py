@@ -301,7 +301,7 @@ query("nonstandard_samples")(
 
 
 def _line_authors(c: Codebase) -> DataFrame:
-    blame = c.view("blame_claims").dropDuplicates(["repo", "path", "line_no"])
+    blame = c.view("blame_claims").groupBy("repo", "path", "line_no").agg(F.min("author").alias("author"))  # the first by name of several
     repos = c.spark.createDataFrame(list(standins.BLAME_REPOS), "repo string, repo_ord int")
     return ht.line_authors(blame, repos, blame.select("path"))
 

@@ -215,6 +215,15 @@ def test_service_summary_and_penetration(spark):
     assert got == {"s": ["x", "y"]}
 
 
+def test_substring_join_equals_search(spark):
+    texts = ["github.com/acme/auth-api/v1", "authz", "a", "", None, "banana", "x/auth/auth", "api", "abcabd"]
+    needles = [("AUTH", "auth"), ("Auth", "auth"), ("a", "a"), ("an", "an"), ("none", "zzzz"), ("", ""), (None, None), ("api", "api"), ("abd", "abd"), ("bcab", "bcab")]
+    left = spark.createDataFrame([(t,) for t in texts], "import string")
+    right = spark.createDataFrame(needles, "target string, needle string")
+    got = sorted((r["import"], r["target"]) for r in marts.substring_join(left, "import", right, "needle").collect())
+    assert got == sorted((t, name) for t in texts if t for name, n in needles if n and n in t)
+
+
 def test_compose(spark):
     body = ["version: 3", "services:", "  web:", "    image: 'postgres:15'", "    #  x:", "  cache:", "    ports: 6379", "volumes:", "  data:"]
     lines = spark.createDataFrame([("d/compose.yml", i + 1, t) for i, t in enumerate(body)], "path string, line_no int, text string")
