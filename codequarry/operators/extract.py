@@ -148,7 +148,8 @@ def extract_description(lines: DataFrame, chunk_rows: int | None = AUTO) -> Data
     """Comment text in front of the first type that has any.
 
     A comment run ends at a line that is neither blank nor a comment. Runs are numbered by counting
-    such lines; only runs that end in a type are joined back to their comments.
+    such lines. The first run of a file that ends in a type and has a text is found from counts and lengths;
+    only that run's comments are gathered.
     """
     chunk_rows = fit_chunks(lines, "line_no", chunk_rows)
     t = F.col("trimmed")
@@ -162,16 +163,17 @@ def extract_description(lines: DataFrame, chunk_rows: int | None = AUTO) -> Data
     resets = F.when(F.col("comment").isNull(), 1).otherwise(0)
     rows = running(rows, FILE, "line_no", {"run": ("sum", resets, False)}, chunk_rows)
     run_key = [*FILE, "run"]
-    types = rows.where("is_type").select(*run_key, F.col("line_no").alias("type_line"))
-    runs = (
-        rows.where("comment IS NOT NULL")
-        .join(types, run_key)
-        .groupBy(*run_key, "type_line")
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "comment"))).alias("run_comments"))
-        .select(*FILE, "type_line", F.array_join(F.col("run_comments.comment"), " ").alias("description"))
-        .where("description <> ''")
+    # numbers only per run; two comments make a text even if both are empty, as a space parts them
+    runs = rows.groupBy(*run_key).agg(
+        F.min(F.when(F.col("is_type"), F.col("line_no"))).alias("type_line"),
+        F.count("comment").alias("comments"),
+        F.max(F.length("comment")).alias("longest"),
     )
-    return runs.groupBy(*FILE).agg(F.min_by("description", "type_line").alias("description"))
+    runs = runs.where("type_line IS NOT NULL AND (comments > 1 OR longest > 0)")
+    first = runs.groupBy(*FILE).agg(F.min_by("run", "type_line").alias("run"))
+    chosen = rows.where("comment IS NOT NULL").join(first, run_key).groupBy(*FILE)
+    chosen = chosen.agg(F.array_sort(F.collect_list(F.struct("line_no", "comment"))).alias("run_comments"))
+    return chosen.select(*FILE, F.array_join(F.col("run_comments.comment"), " ").alias("description"))
 
 
 def todo_counts(lines: DataFrame, chunk_rows: int | None = AUTO) -> DataFrame:

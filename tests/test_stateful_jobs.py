@@ -130,6 +130,18 @@ def test_parsed_file(spark):
     assert got["none.go"]["line_count"] == 0
 
 
+def test_description_is_the_first_run_with_a_text(spark):
+    texts = {
+        "one.go": "//\ntype A struct {\n// second\n// run\ntype B struct {\n// third\ntype C struct {",
+        "two.go": "//\n//\ntype A struct {\n// later\ntype B struct {",
+        "none.go": "// a function's\nfunc F() {\n}\ntype A struct {\n// last",
+    }
+    rows = [("r", path, i + 1, t) for path, text in texts.items() for i, t in enumerate(text.split("\n"))]
+    df = spark.createDataFrame(rows, LINES_SCHEMA)
+    for chunk in (None, 2):
+        assert {r["path"]: r["description"] for r in extract.extract_description(df, chunk).collect()} == {"one.go": "second run", "two.go": " "}
+
+
 def test_one_hot_file_spans_many_chunks(spark):
     """A single file holds nearly all rows; chunks find what the whole file's windows find."""
     hot = {"d/hot.go": ["func Z() {", "\tx()", "}"] * 70 + [t for k in range(40) for f in random_files(3, 40, seed=k).values() for t in f if "import (" not in t]}
