@@ -157,7 +157,7 @@ def longest_functions(per_file: DataFrame, n: int = 20) -> DataFrame:
 
 
 def file_inventory(files: DataFrame) -> DataFrame:
-    """Files of a service with declaration list and description, without ``module.go``.
+    """Files of a service with declaration list and description (for display, and whole), without ``module.go``.
 
     ``files`` has ``declarations`` as a nested array. ``position`` is not stored: consumers sort by
     (service, line_count desc, id), which needs no per-service task.
@@ -171,6 +171,7 @@ def file_inventory(files: DataFrame) -> DataFrame:
         F.size("declarations").alias("declaration_count"),
         shown.alias("declaration_list"),
         text.cut_bytes(F.col("description"), 120).alias("description"),
+        F.col("description").alias("whole_description"),
         F.when(F.col("file_type") == "proto", "proto").otherwise("").alias("type_tag"),
     )
 

@@ -621,7 +621,7 @@ CHECKS["todo_density"] = (
 )
 CHECKS["longest_functions"] = f"SELECT repo || '/' || path AS id, name, {big('line_count')} FROM longest ORDER BY line_count DESC, id LIMIT 20"
 CHECKS["file_inventory"] = (
-    f"SELECT CASE WHEN service = '' THEN 'root' ELSE service END AS service, id, {base('id')} AS file_name, {big('line_count')}, CAST(n AS BIGINT) AS declaration_count, listed AS declaration_list, {cut('description', 120)} AS description, "
+    f"SELECT CASE WHEN service = '' THEN 'root' ELSE service END AS service, id, {base('id')} AS file_name, {big('line_count')}, CAST(n AS BIGINT) AS declaration_count, listed AS declaration_list, {cut('description', 120)} AS description, description AS whole_description, "
     f"CASE WHEN file_type = 'proto' THEN 'proto' ELSE '' END AS type_tag FROM parsed WHERE {base('id')} <> 'module.go'"
 )
 CTES["team_pick"] = (

@@ -379,7 +379,7 @@ def _longest(c: Codebase) -> DataFrame:
 
 query("file_inventory")(
     lambda c: marts.file_inventory(c.parsed).select(
-        "service", "id", "file_name", *big("line_count", "declaration_count"), "declaration_list", "description", "type_tag"
+        "service", "id", "file_name", *big("line_count", "declaration_count"), "declaration_list", "description", "whole_description", "type_tag"
     )
 )
 query("team_map")(
