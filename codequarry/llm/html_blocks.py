@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 # Elements of HTML by how they part text.
@@ -33,21 +34,49 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+@dataclass(eq=False, slots=True)
+class Element:
+    tag: str
+    words: tuple[str, ...]  # of its class, id and role
+    parent: Element | None
+    depth: int  # of elements around it
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # of each element around it, from the outside: its tag and the words of its class, id and role
+    inmost: Element | None  # the element it stands in; the others are its parents, which all blocks share
     text: str
     linked: int  # characters inside links
 
 
+def steps(page: list[Block]) -> Iterator[tuple[int, list[Element], Block]]:
+    """For each block the number of elements left since the block before, and those entered, from the outside.
+
+    Blocks are in page order, so an element is entered and left about once, however deep it lies.
+    """
+    before: Element | None = None
+    for block in page:
+        left, entered, now = 0, [], block.inmost
+        while before is not now:
+            if now is None or (before is not None and before.depth >= now.depth):
+                before, left = before.parent, left + 1
+            else:
+                entered.append(now)
+                now = now.parent
+        yield left, entered[::-1], block
+        before = block.inmost
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, with character references decoded and white space made single.
 
     Any text parses: unclosed elements end where HTML lets them or at the end, unknown end tags and a tag that the
     page's end cuts off are passed over. Line breaks inside a block count as white space. Text of elements that a
     browser doesn't show (``RAW`` and ``UNSEEN``) is in no block, and such elements don't part the text around them.
+    Memory and time grow in proportion to the page, however deep its elements are nested.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()  # tags in the stack
     out: list[Block] = []
     parts: list[str] = []
     links, linked = 0, 0
@@ -60,12 +89,22 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(stack), text, min(linked, len(text))))
+                out.append(Block(stack[-1] if stack else None, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def push(name: str, words: tuple[str, ...] = ()) -> None:
+        stack.append(Element(name, words, stack[-1] if stack else None, len(stack)))
+        opened[name] += 1
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            opened[stack.pop().tag] -= 1
+
     def place(name: str) -> int:
-        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+        if not opened[name]:
+            return -1
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name)
 
     at = 0
     while at < len(page):
@@ -85,7 +124,7 @@ def blocks(page: str) -> list[Block]:
         name = name.lower()
         end, closed = bool(token[1] or token[4]), whole.endswith("/>")
         if name in RAW and not end:
-            if not (closed and hidden is not None and stack[hidden][0] == "svg"):
+            if not (closed and hidden is not None and stack[hidden].tag == "svg"):
                 over = _RAW_END[name].search(page, at)
                 at = over.end() if over else len(page)
             continue
@@ -101,23 +140,23 @@ def blocks(page: str) -> list[Block]:
                 leaves = 0 <= found < hidden
                 if not leaves:
                     if found >= 0:
-                        del stack[found:]
+                        cut(found)
                     if found == hidden:
                         hidden = None
                     continue
             else:
-                while len(stack) > hidden + 1 and name in CLOSED_BY.get(stack[-1][0], ()):
-                    stack.pop()
-                if name not in VOID and not (closed and (name == "svg" or stack[hidden][0] == "svg")):
-                    stack.append((name, ()))
+                while len(stack) > hidden + 1 and name in CLOSED_BY.get(stack[-1].tag, ()):
+                    cut(len(stack) - 1)
+                if name not in VOID and not (closed and (name == "svg" or stack[hidden].tag == "svg")):
+                    push(name)
                 continue
-            del stack[hidden:]
+            cut(hidden)
             hidden = None
         if name in UNSEEN:
             if not end and not (closed and name == "svg"):
                 hidden = len(stack)
                 inside.clear()
-                stack.append((name, ()))
+                push(name)
             continue
         if name == "br":
             parts.append(" ")
@@ -132,15 +171,15 @@ def blocks(page: str) -> list[Block]:
         if end:
             found = place(name)
             if found >= 0:
-                del stack[found:]
+                cut(found)
         elif name not in VOID:
-            while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
+            while stack and name in CLOSED_BY.get(stack[-1].tag, ()):
+                cut(len(stack) - 1)
             words: tuple[str, ...] = ()
             if token[3] and "=" in token[3]:
                 words = tuple(w.lower() for m in _NAMED.finditer(token[3]) for w in _PIECE.findall(m[1] or m[2] or m[3] or ""))
-            stack.append((name, words))
+            push(name, words)
     if hidden is not None:
-        del stack[hidden:]
+        cut(hidden)
     flush()
     return out

@@ -13,6 +13,7 @@ whose blocks are filled with passages of the sampled pages.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm import labelled
-from codequarry.llm.html_blocks import Block, blocks
+from codequarry.llm.html_blocks import Block, Element, blocks, steps
 
 SAMPLE_PAGES = 200
 LAYOUT_PAGES = 500
@@ -41,27 +42,39 @@ TELLING = frozenset(
     "accept advertisement advertisements agree comment comments contact cookie cookies copyright follow home login menu more newsletter next password policy previous privacy read related reply rights search share sign sponsored subscribe terms".split()
 )
 NAMED_ASIDE = ASIDE_WORDS - {"body", "text"}
+_NAMES = ASIDE_WORDS | MAIN_WORDS
 
 
 def _step(value: float, steps: tuple[float, ...]) -> int:
     return sum(value >= s for s in steps)
 
 
-def describe(page: list[Block]) -> list[list[str]]:
-    """The feature names that hold for each block."""
-    out = []
-    for i, block in enumerate(page):
-        tags = {t for t, _ in block.path}
-        names = {w for _, words in block.path for w in words}
+def describe(page: list[Block], known: frozenset[str] | None = None) -> Iterator[list[str]]:
+    """The feature names that hold for each block; of the tags around it only those in ``known``, if given."""
+    around: list[Element] = []
+    tags: Counter[str] = Counter()
+    names: Counter[str] = Counter()
+    for i, (left, entered, block) in enumerate(steps(page)):
+        for _ in range(left):
+            element = around.pop()
+            tags.subtract([element.tag])
+            names.subtract(_NAMES.intersection(element.words))
+            if not tags[element.tag]:
+                del tags[element.tag]
+        for element in entered:
+            around.append(element)
+            tags[element.tag] += 1
+            names.update(_NAMES.intersection(element.words))
+        named = {w for w, n in names.items() if n}
         words = block.text.split(" ")
         lower = {w.strip(".,:;!?()").lower() for w in words}
-        found = [f"in {t}" for t in tags] + [f"own {block.path[-1][0] if block.path else ''}"]
-        found += [f"named {w}" for w in names & ASIDE_WORDS] + [f"named {w}" for w in names & MAIN_WORDS] + [f"says {w}" for w in lower & TELLING]
-        if names & NAMED_ASIDE:
+        found = [f"in {t}" for t in (tags if known is None else tags.keys() & known)] + [f"own {around[-1].tag if around else ''}"]
+        found += [f"named {w}" for w in named & ASIDE_WORDS] + [f"named {w}" for w in named & MAIN_WORDS] + [f"says {w}" for w in lower & TELLING]
+        if named & NAMED_ASIDE:
             found.append("named aside")
-        if names & MAIN_WORDS:
+        if named & MAIN_WORDS:
             found.append("named main")
-        if not tags & {"article", "main"}:
+        if "article" not in tags and "main" not in tags:
             found.append("in no article")
         found += [
             f"words {_step(len(words), (2, 4, 8, 15, 30, 60))}",
@@ -72,8 +85,7 @@ def describe(page: list[Block]) -> list[list[str]]:
             f"copy {'©' in block.text}",
             "always",
         ]
-        out.append(found)
-    return out
+        yield found
 
 
 class Field:
@@ -81,12 +93,13 @@ class Field:
 
     def __init__(self, names: list[str]):
         self.index = {n: i for i, n in enumerate(names)}
+        self.tags = frozenset(n[3:] for n in names if n.startswith("in "))
         self.emission = np.zeros((len(names), 2))
         self.transition = np.zeros((2, 2))
 
     def scores(self, page: list[Block]) -> np.ndarray:
         index, emission = self.index, self.emission
-        return np.array([emission[[index[n] for n in found if n in index]].sum(0) for found in describe(page)]).reshape(-1, 2)
+        return np.array([emission[[index[n] for n in found if n in index]].sum(0) for found in describe(page, self.tags)]).reshape(-1, 2)
 
     def fit(self, pages: list[list[list[str]]], labels: list[list[int]], rounds: int = 150, rate: float = 0.1, ridge: float = 0.02) -> None:
         """Maximum likelihood by Adam, on described pages; all go through forward and backward sums side by side."""
@@ -150,21 +163,21 @@ class Field:
 
 def own_labels(page: list[Block]) -> list[int] | None:
     """Labels from a page's semantic elements; None if it has neither article nor main."""
-    if not any(t in ("article", "main") for b in page for t, _ in b.path):
-        return None
-    out = []
-    for b in page:
-        inside = False
-        for tag, words in b.path:
-            if tag in ("article", "main"):
-                inside = True
-            elif inside and (tag in ASIDE_TAGS or set(words) & NAMED_ASIDE):
-                inside = False
-                break
-            elif not inside and (tag in ASIDE_TAGS or tag == "header"):
-                break
-        out.append(int(inside))
-    return out
+    out, some = [], False
+    states: list[str] = []  # of the elements around a block: not yet inside main text, inside it, or out of it for good
+    for left, entered, _ in steps(page):
+        del states[len(states) - left :]
+        for e in entered:
+            state = states[-1] if states else "before"
+            some = some or e.tag in ("article", "main")
+            if state != "out":
+                if e.tag in ("article", "main"):
+                    state = "inside"
+                elif e.tag in ASIDE_TAGS or (not NAMED_ASIDE.isdisjoint(e.words) if state == "inside" else e.tag == "header"):
+                    state = "out"
+            states.append(state)
+        out.append(int(bool(states) and states[-1] == "inside"))
+    return out if some else None
 
 
 def layouts(passages: list[str], count: int = LAYOUT_PAGES, seed: int = SEED) -> tuple[list[list[Block]], list[list[int]]]:
@@ -246,7 +259,7 @@ def layouts(passages: list[str], count: int = LAYOUT_PAGES, seed: int = SEED) ->
                 continue
             text = " ".join(w[2:] if w[:2] in ("0|", "1|") else w for w in b.text.split(" ")).strip()
             if text:
-                page.append(Block(b.path, text, min(b.linked, len(text))))
+                page.append(Block(b.inmost, text, min(b.linked, len(text))))
                 own.append(int(marks[0][0]))
         if page:
             pages.append(page)
@@ -265,14 +278,14 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Field:
                 page = blocks(html)
                 own = own_labels(page) if len(page) <= SAMPLE_BLOCKS else None
                 if page and own is not None:
-                    out.append((describe(page), own, [b.text[:PASSAGE] for b, y in zip(page, own, strict=True) if y]))
+                    out.append((list(describe(page)), own, [b.text[:PASSAGE] for b, y in zip(page, own, strict=True) if y]))
         kinds = (pa.list_(pa.list_(pa.string())), pa.list_(pa.int32()), pa.list_(pa.string()))
         columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays(columns, ["found", "labels", "passages"])
 
     known = picked.select("html").mapInArrow(described, "found array<array<string>>, labels array<int>, passages array<string>").orderBy(F.xxhash64("found", "labels")).collect()
     made, labels = layouts([p for r in known for p in r["passages"]])
-    every = [(r["found"], r["labels"]) for r in known] + [(describe(p), y) for p, y in zip(made, labels, strict=True)]
+    every = [(r["found"], r["labels"]) for r in known] + [(list(describe(p)), y) for p, y in zip(made, labels, strict=True)]
     seen: dict[str, int] = {}
     for page, _ in every:
         for found in page:

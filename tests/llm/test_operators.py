@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -606,7 +607,7 @@ def test_layouts_held_out_and_viterbi():
     pages, labels = html_crf.layouts(passages, 200, seed=1)
     seen = sorted({n for p in pages for f in html_crf.describe(p) for n in f})
     field = html_crf.Field(seen)
-    field.fit([html_crf.describe(p) for p in pages], labels, rounds=80)
+    field.fit([list(html_crf.describe(p)) for p in pages], labels, rounds=80)
     others, truth = html_crf.layouts(passages, 80, seed=2)
     right = sum(a == b for p, y in zip(others, truth, strict=True) for a, b in zip(field.decode(p), y, strict=True))
     assert right / sum(map(len, truth)) > 0.98
@@ -619,6 +620,42 @@ def test_layouts_held_out_and_viterbi():
     assert field.decode(page) == list(best)
 
 
+@pytest.mark.parametrize("page", ["<div class='nav x'>t " * 20_000, "".join(f"<e{i}>t " for i in range(20_000)), "<div>t " * 10_000 + "</section>t </div>" * 10_000])
+def test_deep_pages_take_memory_in_proportion(page):
+    tracemalloc.start()
+    found = html_blocks.blocks(page)
+    seen = sum(len(names) for names in html_crf.describe(found, frozenset(["div"])))
+    own = html_crf.own_labels(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) >= 20_000 and seen < 16 * len(found) and own is None
+    assert peak < 60e6
+
+
+def test_descriptions_follow_the_path_of_each_block():
+    rng = random.Random(5)
+    kinds = "div p li article main nav section header aside".split()
+    for _ in range(200):
+        page = "".join(rng.choice([f"<{k}>", f"</{k}>", f'<{k} class="nav story">', "t. "]) for k in rng.choices(kinds, k=40))
+        found = html_blocks.blocks(page)
+        labels = html_crf.own_labels(found)
+        some = False
+        for n, (block, names) in enumerate(zip(found, html_crf.describe(found), strict=True)):
+            path, at = [], block.inmost
+            while at is not None:
+                path.insert(0, at)
+                at = at.parent
+            assert {x for x in names if x.startswith("in ")} - {"in no article"} == {f"in {e.tag}" for e in path}
+            assert ("named nav" in names) == any("nav" in e.words for e in path)
+            first = next((i for i, e in enumerate(path) if e.tag in ("article", "main")), None)
+            some = some or first is not None
+            if labels is not None:
+                main = first is not None and not any(e.tag in html_crf.ASIDE_TAGS or e.tag == "header" for e in path[:first])
+                main = main and not any(e.tag not in ("article", "main") and (e.tag in html_crf.ASIDE_TAGS or set(e.words) & html_crf.NAMED_ASIDE) for e in path[first:])
+                assert labels[n] == int(main)
+        assert (labels is not None) == some
+
+
 @pytest.mark.parametrize("page", ["", "<", "a < b", "<p", "<p class='x", "<!-- open", "<script>never closed", "</div></p>x", "<p>a<p>b", "&amp", "&am", "<a href='x>y'>t</a>", "<li>a<li>b" * 300, "<div>" * 3000 + "x"])
 def test_any_page_parses(page):
     assert all(b.text == " ".join(b.text.split()) for b in html_blocks.blocks(page))
