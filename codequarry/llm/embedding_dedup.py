@@ -3,7 +3,7 @@
 Vectors that are equal and share a label are one class, represented by the smallest id. In each pass every
 representative gets a code of ``BITS`` signs of random projections of its difference from the mean of its label, so
 that the signs part a crowd of vectors that all point one way; representatives are ordered by (label, code) and each
-is compared in double precision with the ``WINDOW`` ones before it. Neighbours share long beginnings of their codes,
+is compared in double precision with the ``WINDOW`` ones before it, across the borders of partitions too. Neighbours share long beginnings of their codes,
 so they meet in some pass even if others part them. Pairs found in any pass are united into components. Rounds of
 ``PASSES`` passes with new projections go on, over all rows, until a round unites nothing that was apart.
 
@@ -20,16 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.components import components
-from codequarry.sources.store import settle
+from codequarry.sources.store import discard, settle
 
 COSINE = 0.98
 PASSES = 12
 BITS = 48
 WINDOW = 100
+BORDER_ROWS = 8192
 TILE = 2048
 SEED = 23
 
@@ -121,54 +122,120 @@ def linked(classes: DataFrame) -> DataFrame:
     while True:
         passes = rows.select("group", "node", "unit", "mean").mapInArrow(_coded(turn), "group string, node bigint, unit binary, codes array<bigint>")
         passes = passes.select("node", "unit", F.posexplode("codes").alias("pass", "code"), "group").withColumn("group", F.concat_ws(":", "pass", "group"))
-        ordered = passes.repartitionByRange("group", "code", "node").sortWithinPartitions("group", "code", "node")
-        found = ordered.select("group", "node", "unit").mapInArrow(_windows, "a bigint, b bigint").distinct()
-        if reached is not None:
-            found = found.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        walked = walk(passes)
+        found = walked.where("part is null").select("a", "b").unionByName(across(walked)).distinct()
+        before = reached
+        if before is not None:
+            found = found.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
         reached = settle(components(found), "vector-components")
+        for table in (walked, before):
+            if table is not None:
+                discard(table)
         united = reached.where("node <> component").count()  # each union makes one node more that is not the least of its component
         if united == apart or united == 0:
             return reached
         apart, turn = united, turn + 1
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each row with the ``WINDOW`` rows of its group before it; rows come in order. Emits a spanning forest of what is found."""
-    tail: pd.DataFrame | None = None
-    parent: dict[int, int] = {}
+def walk(passes: DataFrame) -> DataFrame:
+    """Rows ``group, code, node, unit`` in order, each compared with those before it in its partition: links ``a, b``, and
+    the first and last ``WINDOW`` rows of each partition (``part`` not null) with their place ``at`` in it, for ``across``."""
+    ordered = passes.repartitionByRange("group", "code", "node").sortWithinPartitions("group", "code", "node")
+    ordered = ordered.select("group", "node", "unit", F.spark_partition_id().alias("part"))
+    return settle(ordered.mapInArrow(_windows, "a bigint, b bigint, part int, at bigint, group string, node bigint, unit binary"), "vector-links")
+
+
+def across(walked: DataFrame) -> DataFrame:
+    """Links ``a, b`` between rows of different partitions, at most ``WINDOW`` places apart in the whole order.
+
+    The rows at borders get their place in the whole order from the sizes of the partitions (one row each, summed in one task) and
+    are cut into blocks that share ``WINDOW`` places, so partitions of any size, also of less than a window, are bridged.
+    """
+    rows = walked.where("part is not null")
+    sizes = rows.groupBy("part").agg((F.max("at") + 1).alias("n"))  # the last row of a partition is among them
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    block = F.floor(F.col("at") / BORDER_ROWS)
+    shared = F.col("at") % BORDER_ROWS >= BORDER_ROWS - WINDOW
+    placed = rows.join(F.broadcast(starts), "part").select((F.col("start") + F.col("at")).alias("at"), "group", "node", "unit")
+    placed = placed.select(F.explode(F.when(shared, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"), "at", "group", "node", "unit")
+    return placed.groupBy("block").applyInPandas(_border_links, "a bigint, b bigint")
+
 
-    def root(x: int) -> int:
+class _Found:
+    """A spanning forest of the links seen so far."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for batch in batches:
-        rows = batch.to_pandas()
-        known = 0 if tail is None else len(tail)
-        rows = rows if tail is None else pd.concat([tail, rows], ignore_index=True)
-        group = rows["group"].to_numpy()
+    def compare(self, rows: pd.DataFrame, known: int = 0) -> None:
+        """Each row but the first ``known`` with those of its group up to ``WINDOW`` places (``at``) before it."""
+        group, at = rows["group"].to_numpy(), rows["at"].to_numpy()
         edge = np.flatnonzero(group[1:] != group[:-1]) + 1
         for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(rows)], strict=True):
             ids, vectors = rows["node"].to_numpy()[a:b], _matrix(rows["unit"].to_numpy()[a:b])
             for lo in range(max(0, known - a), b - a, 256):
                 hi, first = min(lo + 256, b - a), max(0, lo - WINDOW)
                 near = vectors[lo:hi] @ vectors[first:hi].T >= COSINE
-                distance = np.arange(lo, hi)[:, None] - np.arange(first, hi)
+                distance = at[a + lo : a + hi, None] - at[a + first : a + hi]
                 for i, j in zip(*np.nonzero(near & (distance > 0) & (distance <= WINDOW)), strict=True):
-                    x, y = root(int(ids[lo + i])), root(int(ids[first + j]))
+                    x, y = self.root(int(ids[lo + i])), self.root(int(ids[first + j]))
                     if x != y:
-                        parent[max(x, y)] = min(x, y)
+                        self.parent[max(x, y)] = min(x, y)
+
+    def take(self) -> list[tuple[int, int]]:
+        links = [(x, self.root(x)) for x in list(self.parent) if self.root(x) != x]
+        self.parent.clear()
+        return links
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of rows that come in order, as a spanning forest, then the rows at both ends."""
+    tail: pd.DataFrame | None = None
+    found, seen = _Found(), 0
+    for batch in batches:
+        rows = batch.to_pandas()
+        rows["at"] = np.arange(seen, seen + len(rows))
+        if seen < WINDOW and len(rows):
+            yield _ends(rows[rows["at"] < WINDOW])
+        seen += len(rows)
+        known = 0 if tail is None else len(tail)
+        rows = rows if tail is None else pd.concat([tail, rows], ignore_index=True)
+        found.compare(rows, known)
         tail = rows.iloc[-WINDOW:]
-        if len(parent) > 200_000:
-            yield _forest(parent, root)
-            parent.clear()
-    yield _forest(parent, root)
+        if len(found.parent) > 200_000:
+            yield _links(found.take())
+    if tail is not None:
+        yield _ends(tail[tail["at"] >= WINDOW])
+    yield _links(found.take())
+
+
+_END = {"part": pa.int32(), "at": pa.int64(), "group": pa.string(), "node": pa.int64(), "unit": pa.binary()}
+
+
+def _ends(rows: pd.DataFrame) -> pa.RecordBatch:
+    none = pa.nulls(len(rows), pa.int64())
+    columns = [pa.array(rows[c].to_numpy(), kind) for c, kind in _END.items()]
+    return pa.RecordBatch.from_arrays([none, none, *columns], ["a", "b", *_END])
+
+
+def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = [pa.array([link[i] for link in links], pa.int64()) for i in (0, 1)]
+    nulls = [pa.nulls(len(links), kind) for kind in _END.values()]
+    return pa.RecordBatch.from_arrays([*columns, *nulls], ["a", "b", *_END])
 
 
-def _forest(parent: dict[int, int], root) -> pa.RecordBatch:
-    links = [(x, root(x)) for x in list(parent) if root(x) != x]
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+def _border_links(rows: pd.DataFrame) -> pd.DataFrame:
+    found = _Found()
+    found.compare(rows.sort_values("at", ignore_index=True))
+    return pd.DataFrame(found.take(), columns=["a", "b"], dtype="int64")
 
 
 def _tiles(pairs: pd.DataFrame) -> pd.DataFrame:

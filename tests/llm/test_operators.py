@@ -168,6 +168,51 @@ def test_pairs_in_a_crowd_are_found(spark):
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(pairs)) >= 0.995 * pairs
 
 
+@pytest.mark.parametrize("partitions", [3, 200])
+def test_windows_reach_across_partitions(spark, partitions):
+    """Links are those of one walk over all rows, also where partitions hold less than a window."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    base = rng.normal(size=(600, 8))
+    vectors = base[rng.integers(0, 600, n)] + rng.normal(scale=0.03, size=(n, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [("a" if i < 2000 else "b", i // 2, i, vectors[i].tobytes()) for i in range(n)]
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(n):
+        for j in range(max(0, i - embedding_dedup.WINDOW), i):
+            if rows[i][0] == rows[j][0] and vectors[i] @ vectors[j] >= embedding_dedup.COSINE:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        walked = embedding_dedup.walk(spark.createDataFrame(rows, "group string, code long, node long, unit binary"))
+        assert walked.where("part is not null").select("part").distinct().count() >= partitions / 2
+        inside = {(r["a"], r["b"]) for r in walked.where("part is null").select("a", "b").collect()}
+        links = inside | {(r["a"], r["b"]) for r in embedding_dedup.across(walked).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = list(range(n))
+
+    def home(x):
+        while got[x] != x:
+            x = got[x]
+        return x
+
+    for x, y in links:
+        a, b = sorted((home(x), home(y)))
+        got[b] = a
+    assert [home(i) for i in range(n)] == [root(i) for i in range(n)]
+
+
 def test_top_k_is_exact(spark):
     rows, df = vectors(spark)
     df = df.unionByName(df.where("vec_id = 50"))
