@@ -83,12 +83,25 @@ def decl_ref_edges(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select(*_LINK).distinct()
 
 
-def colocation_edges(nodes: DataFrame, least: int = 2, most: int = 20) -> DataFrame:
-    """Ordered pairs of differently named declarations of one file with 2 to 20 nodes.
+def colocation_groups(nodes: DataFrame) -> DataFrame:
+    """Co-location as membership, for files of any size: service, file, id, n_links (other names declared in the file).
 
-    Larger files have no such edges by definition, so a group yields at most 380 pairs.
+    One row per declaration in place of one per pair. As an id is its file and name, the links of a declaration lead
+    to all other ids of its group; ``colocation_edges(nodes, most=None)`` writes them out where that is wanted.
     """
-    size = nodes.groupBy("service", "file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most))
+    members = nodes.select("service", "file", "id").distinct()
+    size = members.groupBy("service", "file").agg(F.count(F.lit(1)).alias("n"))
+    return members.join(size, ["service", "file"]).select("service", "file", "id", (F.col("n") - 1).alias("n_links"))
+
+
+def colocation_edges(nodes: DataFrame, least: int = 2, most: int | None = 20) -> DataFrame:
+    """Ordered pairs of differently named declarations of one file with ``least`` to ``most`` nodes (None: any number).
+
+    With the usual 20 a file yields at most 380 pairs; without a bound the pairs of a file grow with its square.
+    """
+    size = nodes.groupBy("service", "file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    if most is not None:
+        size = size.where(F.col("n") <= most)
     small = nodes.join(size.drop("n"), ["service", "file"], "left_semi")
     src = small.select("service", "file", F.col("id").alias("src"), F.col("name").alias("src_name"), F.col("kind").alias("src_kind"))
     dst = small.select("service", "file", F.col("id").alias("dst"), F.col("name").alias("dst_name"),

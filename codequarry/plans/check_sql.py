@@ -238,6 +238,14 @@ CHECKS["files_by_service"] = "SELECT service, count(*) AS file_count, min(path)
 CHECKS["foreign_services"] = "SELECT name, language, service_path, line_count, file_count FROM foreigns"
 CTES["touches"] = "SELECT f.repo, f.hash, f.path, f.added, c.repo_ord, c.author, c.ts, c.subject, c.log_seq FROM commit_files f JOIN commits c USING (repo, hash)"
 CHECKS["ingest_commit_log"] = "SELECT repo, author, ts, subject, path FROM touches"
+CHECKS["ingest_commits"] = (
+    f"SELECT c.repo, c.hash, concat_ws(',', parent1, parent2) AS parents, author, {big('ts')}, string_split({strip('message')}, chr(10))[1] AS subject, {strip('message')} AS message, "
+    "row_number() OVER (PARTITION BY c.repo ORDER BY c.log_seq) AS log_seq, coalesce(p.paths, '') AS paths FROM commits c "
+    "LEFT JOIN (SELECT repo, hash, string_agg(path, ',' ORDER BY path) AS paths FROM commit_files GROUP BY repo, hash) p ON p.repo = c.repo AND p.hash = c.hash"
+)
+CHECKS["ingest_heads"] = (
+    f"SELECT repo, name, {big('ts')}, md5(repo || '/' || name) AS tip, name = min(name) OVER (PARTITION BY repo) AS is_head FROM branches"
+)
 CHECKS["ingest_numstat"] = "SELECT author, path, CAST(sum(added) AS BIGINT) AS added FROM touches WHERE added IS NOT NULL GROUP BY author, path"
 CHECKS["ingest_blame"] = f"SELECT repo, path, {big('line_no')}, 'by-' || ltrim(blame_hash, '0') AS author FROM code_lines"
 CHECKS["ingest_refs"] = "SELECT repo, 'branch' AS kind, name, ts FROM branches UNION ALL SELECT repo, 'tag', tag, CAST(0 AS BIGINT) FROM tags"
@@ -378,6 +386,9 @@ CTES["capped"] = (
 CHECKS["decl_nodes"] = "SELECT service, id, name, kind, CAST(round(score, 6) AS DOUBLE) AS score FROM nodes"
 CHECKS["decl_ref_edges"] = "SELECT DISTINCT service, src, dst FROM (SELECT DISTINCT service, src, dst, src_kind, dst_kind, dst_score FROM node_refs) x"
 CHECKS["colocation_edges"] = "SELECT service, src, dst FROM node_pairs"
+CHECKS["colocation_groups"] = (
+    "SELECT s.service, s.file, s.id, count(DISTINCT g.id) AS n_links FROM nodes s LEFT JOIN nodes g ON g.service = s.service AND g.file = s.file AND g.name <> s.name GROUP BY s.service, s.file, s.id"
+)
 CHECKS["service_message_edges"] = "SELECT service, src, dst FROM node_msgs"
 CHECKS["func_call_edges"] = "SELECT service, src, dst FROM node_refs WHERE src_kind = 'func' AND dst_kind = 'func'"
 CHECKS["cap_out_edges"] = "SELECT service, src, dst FROM capped"

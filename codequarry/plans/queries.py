@@ -62,6 +62,31 @@ def _commit_log(c: Codebase) -> DataFrame:
     return rows.select("repo", "author", F.col("ts").cast("bigint").alias("ts"), "subject", "path")
 
 
+@query("ingest_commits")
+def _commit_records(c: Codebase) -> DataFrame:
+    """The log written as record exports, one folder per repository, and read back from their bytes."""
+    paths = c.commit_files.groupBy("repo", "hash").agg(F.array_join(F.collect_list("path"), "\n").alias("paths"))
+    head = F.concat_ws("\x1f", "hash", F.array_join("parents", " "), "author", F.col("ts").cast("string"), "message")
+    dump = c.commits.join(paths, ["repo", "hash"], "left").select(
+        "repo", "log_seq", F.concat(head, F.lit("\x1d\n\n"), F.coalesce("paths", F.lit("")), F.lit("\n")).alias("block")
+    )
+    folder = ht.write_exports(dump, "log_seq", store.new_table_path(c.spark, "log-export"), ht.RECORD_MARK)
+    rows = ht.ingest_commits(ht.read_exports(c.spark, folder, ht.RECORD_MARK))
+    return rows.select("repo", "hash", joined("parents"), "author", *big("ts"), "subject", "message", *big("log_seq"), joined(F.array_sort("paths"), "paths"))
+
+
+@query("ingest_heads")
+def _heads(c: Codebase) -> DataFrame:
+    """Heads written as one export per repository and read back; the branch first by name has the mark, each has a tip of its own."""
+    rows = c.view("branches")
+    least = rows.groupBy("repo").agg(F.min("name").alias("least"))
+    mark = F.when(F.col("name") == F.col("least"), "*").otherwise(" ")
+    dump = rows.join(least, "repo").select("repo", "name", F.concat_ws("\t", mark, "name", F.col("ts").cast("string"), F.md5(F.concat_ws("/", "repo", "name"))).alias("block"))
+    folder = ht.write_exports(dump, "name", store.new_table_path(c.spark, "heads-export"), "\n")
+    lines = ht.read_exports(c.spark, folder, "\n").select("repo", F.col("block").alias("text"))
+    return ht.ingest_heads(lines).select("repo", "name", *big("ts"), "tip", "is_head")
+
+
 @query("ingest_numstat")
 def _numstat(c: Codebase) -> DataFrame:
     stat = F.concat(F.coalesce(F.col("added").cast("string"), F.lit("-")), F.lit("\t3\t"), F.col("path"))
@@ -236,6 +261,7 @@ query("decl_nodes")(lambda c: c.new_nodes().select("service", "id", "name", "kin
 _L = ["service", "src", "dst"]
 query("decl_ref_edges")(lambda c: dg.decl_ref_edges(c.nodes, c.id_lines).select(*_L))
 query("colocation_edges")(lambda c: dg.colocation_edges(c.nodes).select(*_L))
+query("colocation_groups")(lambda c: dg.colocation_groups(c.nodes))
 query("service_message_edges")(lambda c: dg.service_message_edges(c.nodes, c.id_lines).select(*_L))
 query("func_call_edges")(lambda c: dg.func_call_edges(c.nodes, c.id_lines).select(*_L))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import text
-from codequarry.functions.scan import AUTO, fit_chunks, running
+from codequarry.functions.scan import AUTO, fit_chunks, place_in_group, running
 
 COMMIT_MARK = "__COMMIT__\n"
 AUTHOR_MARK = "__AUTHOR__\n"
@@ -20,6 +20,27 @@ def read_blocks(spark: SparkSession, path: str, mark: str) -> DataFrame:
     return spark.read.option("lineSep", mark).text(path).where("value <> ''").withColumnRenamed("value", "block")
 
 
+def read_exports(spark: SparkSession, folder: str, mark: str) -> DataFrame:
+    """Exports of several repositories, ``folder/repo=<name>/<files>``, in one job: repo, block, ``seq``.
+
+    Files are split by bytes, so one large export is read by several tasks. ``seq`` is the place (from 1) of a block in its
+    repository's export; of several files of a repository the one that comes first by name is read first. Empty blocks drop out.
+    """
+    rows = spark.read.schema("value string, repo string").option("lineSep", mark).text(folder).where("value <> ''")
+    rows = rows.select(
+        "repo", F.col("value").alias("block"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    return place_in_group(rows, "repo", ["_file", "_start", "_at"], "seq").select("repo", "block", "seq")
+
+
+def write_exports(rows: DataFrame, order: str, folder: str, mark: str) -> str:
+    """Write ``repo, block`` in the given order within each repository as ``read_exports`` reads them; the folder."""
+    placed = rows.repartitionByRange("repo", order).sortWithinPartitions("repo", order)
+    placed.select("repo", "block").write.partitionBy("repo").option("lineSep", mark).text(folder)
+    return folder
+
+
 def ingest_commit_log(blocks: DataFrame) -> DataFrame:
     """``block`` = author, epoch seconds, subject, then one touched path per line.
 

@@ -17,7 +17,7 @@ from codequarry.plans.queries import QUERIES  # noqa: E402
 DATA = "/root/testdata/sf0.001"
 PATTERNS = {k: v for k, v in vars(fixed).items() if isinstance(v, str) and k.isupper() and any(c in v for c in "\\^[(")}
 LIGHT = (
-    "list_repos", "assign_service", "foreign_services", "explode_lines", "parsed_files", "run_rules", "rule_summary", "compose_services",
+    "list_repos", "ingest_commits", "ingest_heads", "assign_service", "foreign_services", "explode_lines", "parsed_files", "run_rules", "rule_summary", "compose_services",
     "edges", "type_ref_words", "churn", "team_map", "latest_semver", "branch_inventory", "line_authors", "service_penetration", "layer_rollup",
 )
 

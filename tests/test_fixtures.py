@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions import text
+from codequarry.operators import declgraph as dg
 from codequarry.operators import extract, graph, marts, services, technology
 from codequarry.sources import files as src
 from helpers import LINES_SCHEMA
@@ -235,3 +236,18 @@ def test_compose(spark):
 
 def test_lines_schema_matches(spark):
     assert spark.createDataFrame([], LINES_SCHEMA).columns == ["repo", "path", "line_no", "text"]
+
+
+def test_colocation_as_membership(spark):
+    """Files of any size: counts are those of the pairs, which a bound leaves out for large files."""
+    kinds = ("func", "struct", "enum")
+    nodes = [("s", f"f{f}::n{i}", f"f{f}", f"n{i}", kinds[(i + f) % 3], 0.5) for f, n in enumerate((1, 2, 20, 21, 70)) for i in range(n)]
+    nodes += [("s", "f1::n0", "f1", "n0", "struct", 0.5), ("t", "g::n0", "g", "n0", "func", 0.1)]
+    df = spark.createDataFrame(nodes, "service string, id string, file string, name string, kind string, score double")
+    want = {(s, f, i): len({b for t, b, g, m, _, _ in nodes if (t, g) == (s, f) and m != name}) for s, i, f, name, _, _ in nodes}
+    rows = dg.colocation_groups(df).collect()
+    assert {(r["service"], r["file"], r["id"]): r["n_links"] for r in rows} == want and len(rows) == len(want)
+    pairs = dg.colocation_edges(df, most=None).select("service", "src", "dst").distinct()
+    counts = {r["src"]: r["count"] for r in pairs.groupBy("src").count().collect()}
+    assert counts == {i: n for (_, _, i), n in want.items() if n}
+    assert {r["src"].split(":")[0] for r in dg.colocation_edges(df).collect()} == {"f1", "f2"}

@@ -172,6 +172,32 @@ def test_commit_export_and_heads(spark, tmp_path):
     assert {r["hash"] for r in on_main.collect()} == {"aa", "bb", "cc"}
 
 
+def test_exports_of_several_repositories(spark, tmp_path):
+    """Places follow the files' names and their bytes, also where one file is read in many splits; names of folders stay text."""
+    want = []
+    for repo, files in (("007", 1), ("a b", 3)):
+        folder = tmp_path / f"repo={repo}"
+        folder.mkdir()
+        blocks = [f"{repo} {i}\nsecond line " + "x" * (i * 37 % 90) for i in range(900)]
+        for k in range(files):
+            part = blocks[k * 900 // files : (k + 1) * 900 // files]
+            (folder / f"part-{k}").write_text("".join("\x1e" + b for b in part))
+        want += [(repo, b, i + 1) for i, b in enumerate(blocks)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = ht.read_exports(spark, str(tmp_path), ht.RECORD_MARK)
+        assert spark.read.option("lineSep", ht.RECORD_MARK).text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = spark.createDataFrame([(r, b, -n) for r, b, n in want], "repo string, block string, o int")
+    back = ht.read_exports(spark, ht.write_exports(rows, "o", str(tmp_path / "back"), ht.RECORD_MARK), ht.RECORD_MARK)
+    assert sorted(map(tuple, back.collect())) == sorted((r, b, 901 - n) for r, b, n in want)
+
+
 def test_files_and_sink(spark, tmp_path):
     (tmp_path / "w" / "a").mkdir(parents=True)
     (tmp_path / "w" / "a" / "x.go").write_text("package a\n")
