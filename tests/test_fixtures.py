@@ -251,3 +251,41 @@ def test_colocation_as_membership(spark):
     counts = {r["src"]: r["count"] for r in pairs.groupBy("src").count().collect()}
     assert counts == {i: n for (_, _, i), n in want.items() if n}
     assert {r["src"].split(":")[0] for r in dg.colocation_edges(df).collect()} == {"f1", "f2"}
+
+
+def test_classes_of_frequent_words(spark):
+    """Words that many files mention and declare stay in classes; links, degrees and scores equal those of the pairs."""
+    files, lines, decls = [], [], []
+    for i in range(40):
+        service = ("", "a", "b")[i % 3]
+        own = [f"Hot{j}" for j in range(3) if (i + j) % (j + 2) == 0] + [f"Rare{i // 4}"] * (i % 5 == 0)
+        used = own + [f"Hot{j}" for j in range(3) if i % (j + 3) == 1] + [f"Rare{(i + 3) // 4}"]
+        files.append((f"f{i}", service))
+        decls += [(f"f{i}", service, name, "struct") for name in own]
+        lines += [(f"f{i}", n, f"x {word} y") for n, word in enumerate(used)]
+    imports = spark.createDataFrame([(f"f{i}", f"f{(i * 7 + 3) % 40}") for i in range(40)], "src string, dst string")
+    of = dict(files)
+    wanted = {(f, d) for f, _, t in lines for d, s, name, _ in decls if s == of[f] and f != d and name in t.split()}
+    given = (
+        spark.createDataFrame(files, "id string, service string"),
+        spark.createDataFrame(lines, "id string, line_no int, text string"),
+        spark.createDataFrame(decls, "id string, service string, name string, kind string"),
+    )
+    vertex = given[0].select("id")
+    for bound in (0, 1000):
+        refs = graph.ref_links(*given, pairs_per_mention=bound)
+        assert (refs.joined.count() > 0) == (bound < 1000)
+        pairs = [tuple(r) for r in refs.pairs().select("src", "dst").collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == wanted
+        whole = graph.link_graph(vertex, refs, imports)
+        every = wanted | {tuple(r) for r in imports.collect() if r["src"] != r["dst"]}
+        pairs = [tuple(r) for r in whole.pairs().select("src", "dst").collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == every
+        degree = {r["id"]: (r["out_degree"], r["in_degree"]) for r in graph.degrees(vertex, whole).collect()}
+        assert degree == {v: (sum(s == v for s, _ in every), sum(d == v for _, d in every)) for v in of}
+        if bound == 0:
+            score = dict.fromkeys(of, 1 / 40)
+            for _ in range(5):
+                score = {v: 0.15 / 40 + 0.85 * sum(score[s] / degree[s][0] for s, d in every if d == v) for v in of}
+            got = {r["id"]: r["score"] for r in graph.pagerank(vertex, whole, iterations=5, block_rows=7, pack_links=9).collect()}
+            assert got == pytest.approx(score)
