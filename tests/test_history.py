@@ -247,3 +247,12 @@ def test_stale_and_days(spark):
     commits = spark.createDataFrame([("r", i, i * 86_400 * 7 + 86_400) for i in range(1, 4)], "repo string, log_seq bigint, ts bigint")
     want = commits.select(F.date_format(F.timestamp_seconds("ts"), "EEEE")).first()[0]
     assert tuple(br.peak_commit_day(commits).first()) == (want, 3)
+
+
+def test_branch_listed_twice(spark):
+    """Of rows with one name in one repository the first listed stays, in any order of rows."""
+    rows = [("/r1", 1, "a", 50, 0), ("/r0", 0, "a", 10, 7), ("/r0", 0, "a", 30, 3), ("/r0", 0, "a", 20, 9), ("/r1", 1, "b/c", 5, 2), ("/r1", 1, "b/c", 4, 1)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "repo string, repo_ord int, name string, ts long, place long").coalesce(1)
+        assert {tuple(r) for r in br.branch_inventory(df).collect()} == {("a", "/r0", 30, 1), ("b/c", "/r1", 4, 2)}
+        assert {r["ts"] for r in br.branch_inventory(df.drop("place")).collect()} == {30, 5}
