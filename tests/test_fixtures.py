@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions import text
+from codequarry.functions.scan import grid_join
 from codequarry.operators import declgraph as dg
 from codequarry.operators import extract, graph, marts, services, technology
 from codequarry.sources import files as src
@@ -289,3 +290,27 @@ def test_classes_of_frequent_words(spark):
                 score = {v: 0.15 / 40 + 0.85 * sum(score[s] / degree[s][0] for s, d in every if d == v) for v in of}
             got = {r["id"]: r["score"] for r in graph.pagerank(vertex, whole, iterations=5, block_rows=7, pack_links=9).collect()}
             assert got == pytest.approx(score)
+
+
+def test_declaration_references(spark):
+    """References equal brute force, each once, with repeated declarations and words of more pairs than a cell has rows."""
+    kinds = ("func", "struct", "service", "message")
+    nodes = [(("s", "t")[i % 2], f"f{i}::{n}", f"f{i}", n, kinds[(i + k) % 4], 0.5) for i in range(24) for k, n in enumerate(("Shared", f"Own{i // 4}xx", "abc", "Shared"))]
+    lines = [(f"f{i}", 1, f"Shared Own{(i + 5) // 4}xx abc" if i % 3 else "Shared") for i in range(24)]
+    df = spark.createDataFrame(nodes, "service string, id string, file string, name string, kind string, score double")
+    text_lines = spark.createDataFrame(lines, "id string, line_no int, text string")
+    words = {f: set(t.split()) for f, _, t in lines}
+
+    def found(elsewhere, src_kinds, dst_kinds):
+        return {
+            (a[0], a[1], b[1], a[4], b[4], b[5]) for a in nodes for b in nodes
+            if a[0] == b[0] and a[4] in src_kinds and b[4] in dst_kinds and len(b[3]) > 4 and b[3] in words[a[2]] and not (elsewhere and (a[2] == b[2] or a[3] == b[3]))
+        }
+
+    cases = ((dg.decl_ref_edges, found(True, kinds, kinds)), (dg.func_call_edges, found(True, ("func",), ("func",))), (dg.service_message_edges, found(False, ("service",), ("message",))))
+    for job, want in cases:
+        got = [tuple(r) for r in job(df, text_lines).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    left = spark.range(50).selectExpr("'k' AS k", "id AS l")
+    cells = grid_join(left, left.withColumnRenamed("l", "r"), ["k"], "l", "r", cell_rows=8)
+    assert cells.count() == cells.distinct().count() == 2500
