@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry_module  # noqa: E402
 from codequarry.functions import fixed, text  # noqa: E402
+from codequarry.plans import codebase  # noqa: E402
 from codequarry.plans.codebase import TABLES  # noqa: E402
 from codequarry.plans.queries import QUERIES  # noqa: E402
 
@@ -71,3 +72,13 @@ def test_query_equals_check(spark, con, name):
     assert sorted(df.columns) == sorted(names)
     got = [tuple(r) for r in df.select(*names).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["colocation_edges", "decl_ref_edges", "service_message_edges", "func_call_edges"])
+def test_unranked_links_need_no_pagerank(spark, con, name, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("PageRank for links that nobody ranks")
+
+    monkeypatch.setattr(codebase, "_written", {k: v for k, v in codebase._written.items() if k[2] not in ("nodes", "scores")})
+    monkeypatch.setattr(codebase.graph, "pagerank", refuse)
+    test_query_equals_check(spark, con, name)
