@@ -74,7 +74,7 @@ def test_query_equals_check(spark, con, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["colocation_edges", "decl_ref_edges", "service_message_edges", "func_call_edges"])
+@pytest.mark.parametrize("name", ["colocation_edges", "colocation_groups", "decl_ref_edges", "service_message_edges", "func_call_edges"])
 def test_unranked_links_need_no_pagerank(spark, con, name, monkeypatch):
     def refuse(*_):
         raise AssertionError("PageRank for links that nobody ranks")
