@@ -82,3 +82,22 @@ def test_unranked_links_need_no_pagerank(spark, con, name, monkeypatch):
     monkeypatch.setattr(codebase, "_written", {k: v for k, v in codebase._written.items() if k[2] not in ("nodes", "scores")})
     monkeypatch.setattr(codebase.graph, "pagerank", refuse)
     test_query_equals_check(spark, con, name)
+
+
+def test_views_run_as_methods_the_jvm_compiles(spark, monkeypatch):
+    """A view is written under the limit, which holds for that job only."""
+    key, seen = "spark.sql.codegen.hugeMethodLimit", []
+    plain = spark.conf.get(key)
+    write = codebase.store.setting
+
+    def watched(session, name, value):
+        seen.append((name, value))
+        return write(session, name, value)
+
+    monkeypatch.setattr(codebase, "_written", {})
+    monkeypatch.setattr(codebase.store, "setting", watched)
+    rows = codebase.Codebase(spark, DATA).view("code_lines")
+    assert seen == [(key, 8000)] and spark.conf.get(key) == plain
+    with write(spark, key, 8000):
+        assert spark.conf.get(key) == "8000"
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, codebase.Codebase(spark, DATA)._view("code_lines").collect()))
