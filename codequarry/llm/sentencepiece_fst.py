@@ -78,16 +78,21 @@ class Codec:
         pieces = tables["pieces"]
         self.number = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
         self.score = [s for _, s, _ in pieces]
+        self.rank = {p: -self.score[i] for p, i in self.number.items()}
         self.piece = [p for p, _, _ in pieces]
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
-        # every beginning of a piece, and whether a path may end a piece there
-        self.tree = {p[:n]: False for p in self.number for n in range(1, len(p) + 1)}
-        self.tree.update({p: i not in tables["never"] for p, i in self.number.items()})
+        # every beginning of a piece, with the arcs along it, longest first: what may be a piece there, and its first character in any case
+        self.tree: dict[str, tuple[str, ...]] = {}
+        for part in sorted({p[:n] for p in self.number for n in range(1, len(p) + 1)}, key=len):
+            shorter = self.tree.get(part[:-1], ())
+            may_end = len(part) == 1 or (part in self.number and self.number[part] not in tables["never"])
+            self.tree[part] = (part, *shorter) if may_end else shorter
         self.least = min(self.score[i] for i in self.number.values()) - 10.0 if self.number else 0.0
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         if any(MARK in p.lstrip(MARK) for p in self.number):
             self.cut = re.compile("(?s).+")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.known_pairs = 0
         self.written = [self._bytes(p, kind) for p, _, kind in pieces]
         codecs.register_error("each byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
         self._forget()
@@ -108,41 +113,51 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """Merging of neighbours by rank, the leftmost of equals first, as long as any two make a piece."""
-        parts = list(text)
+        parts, rank = list(text), self.rank
         while len(parts) > 1:
-            ranked = [(-self.score[self.number[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.number]
-            if not ranked:
+            best = at = None
+            for i, joint in enumerate(map(str.__add__, parts, parts[1:])):
+                r = rank.get(joint)
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if at is None:
                 break
-            _, i = min(ranked)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
     def fits(self, a: str, b: str) -> bool:
-        key = (a, b)
-        found = self.pairs.get(key)
+        found = self.pairs.get(a, {}).get(b)
         if found is None:
-            if len(self.pairs) >= REMEMBERED:
+            if self.known_pairs >= REMEMBERED:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(a + b) == [a, b]
+                self.known_pairs = 0
+            found = self.pairs.setdefault(a, {})[b] = self.merged(a + b) == [a, b]
+            self.known_pairs += 1
         return found
 
-    def arcs(self, text: str, at: int) -> list[str]:
-        """What the piece transducer can read at a position, longest first: pieces, or a character that only bytes cover."""
-        tree, end, out = self.tree, at + 1, []
-        piece = text[at:end]
-        final = tree.get(piece)
-        if not final:
-            out.append(piece)
-        while final is not None:
-            if final:
-                out.append(piece)
+    def arcs(self, text: str, at: int) -> tuple[str, ...]:
+        """What the piece transducer can read at a position, longest first: pieces, or a character that only bytes cover.
+
+        Beginnings of a beginning are beginnings, so the longest one is sought up or down from a usual length.
+        """
+        tree, end = self.tree, at + 4
+        found = tree.get(text[at:end]) if end <= len(text) else None
+        if found is None:
+            end = min(end - 1, len(text))
+            while end > at:
+                found = tree.get(text[at:end])
+                if found is not None:
+                    return found
+                end -= 1
+            return (text[at],)
+        size = len(text)
+        while end < size:
             end += 1
-            longer = text[at:end]
-            if len(longer) == len(piece):
+            more = tree.get(text[at:end])
+            if more is None:
                 break
-            piece = longer
-            final = tree.get(piece)
-        return out[::-1]
+            found = more
+        return found
 
     def shortest(self, text: str) -> list[str]:
         """The shortest path through the lattice of ``text``; its states are a position with the piece that leads there."""
@@ -150,18 +165,19 @@ class Codec:
 
     def _all_fit(self, text: str) -> list[str]:
         """With weights 0 and infinity any path of finite weight is shortest: depth first, no dead state entered twice."""
-        size, fits, known = len(text), self.fits, self.pairs
+        size, fits, known, none = len(text), self.fits, self.pairs, {}
         path: list[str] = []
         at, last, dead = 0, None, set()
         arcs = iter(self.arcs(text, 0))
         left = []
         while at < size:
+            after = known.get(last, none)
             for piece in arcs:
                 if last is not None:
-                    fit = known.get((last, piece))
+                    fit = after.get(piece)
                     if not (fits(last, piece) if fit is None else fit):
                         continue
-                if (at + len(piece), piece) in dead:
+                if dead and (at + len(piece), piece) in dead:
                     continue
                 left.append((arcs, at, last))
                 path.append(piece)
@@ -191,7 +207,10 @@ class Codec:
         return path[::-1]
 
     def numbers(self, path: list[str]) -> list[int]:
-        out: list[int] = []
+        out = list(map(self.number.get, path))
+        if None not in out:
+            return out
+        out.clear()
         for piece in path:
             number = self.number.get(piece)
             if number is not None:
@@ -203,8 +222,7 @@ class Codec:
         return out
 
     def learn(self, stretch: str) -> int:
-        for i in self.numbers(self.shortest(stretch)):
-            self.flat.append(i)
+        self.flat.extend(self.numbers(self.shortest(stretch)))
         self.begin.append(len(self.flat))
         place = self.place[stretch] = len(self.begin) - 2
         return place

@@ -94,3 +94,15 @@ def test_stages_keep_columns_and_pipeline_runs(spark):
     result = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "token_ids"} <= set(result.columns)
     assert 0 < result.count() <= 2 * first
+
+
+def test_arcs_are_read_from_the_tree(spark):
+    """What can be read at a position equals brute force, and a place in the tree holds it ready (no new list per position)."""
+    codec = sentencepiece_fst.Codec(sentencepiece_fst.load())
+    never = sentencepiece_fst.load()["never"]
+    for text in ("▁information", "▁the", "a", "xqz", "é日本▁", "\x00ab", "internationalisation"):
+        for at in range(len(text)):
+            ends = range(len(text), at, -1)
+            want = [text[at:e] for e in ends if e == at + 1 or codec.number.get(text[at:e], -1) not in never | {-1}]
+            assert list(codec.arcs(text, at)) == want
+    assert codec.arcs("▁information", 0) is codec.arcs("▁information", 0)
