@@ -226,6 +226,29 @@ def test_substring_join_equals_search(spark):
     assert got == sorted((t, name) for t in texts if t for name, n in needles if n and n in t)
 
 
+def test_substring_join_spreads_what_it_cuts(spark):
+    left = spark.createDataFrame([(f"example.com/org/svc{n}/auth",) for n in range(2000)], "import string").distinct()
+    right = spark.createDataFrame([("AUTH", "auth")], "target string, needle string")
+    pairs = marts.substring_join(left, "import", right, "needle")
+    used = pairs.select(F.spark_partition_id()).distinct().count()
+    assert pairs.count() == 2000 and used >= 8  # one task before, as the uncut texts are small
+
+
+def below_grouping(df):
+    """The plan under its deepest aggregate."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return "\n".join(plan[max(i for i, step in enumerate(plan) if "Aggregate [" in step) + 1 :])
+
+
+def test_dictionaries_are_searched_once_per_value(spark):
+    rows = [("a/go.mod", 1, "  github.com/lib/pq v1"), ("a/Makefile", 1, "Docker build ."), ("a/compose.yml", 1, "services:"), ("a/compose.yml", 2, " image: redis:7")]
+    lines = spark.createDataFrame(rows, "path string, line_no int, text string")
+    imports = spark.createDataFrame([("s", "github.com/lib/pq/x")], "service string, import string")
+    jobs = [technology.tech_from_gomod(lines), technology.tech_from_makefile(lines), technology.tech_from_images(lines, None), technology.tech_from_imports(imports)]
+    for job in jobs:
+        assert job.count() == 1 and "lambda" not in below_grouping(job)
+
+
 def test_compose(spark):
     body = ["version: 3", "services:", "  web:", "    image: 'postgres:15'", "    #  x:", "  cache:", "    ports: 6379", "volumes:", "  data:"]
     lines = spark.createDataFrame([("d/compose.yml", i + 1, t) for i, t in enumerate(body)], "path string, line_no int, text string")
