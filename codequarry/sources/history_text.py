@@ -13,6 +13,8 @@ AUTHOR_MARK = "__AUTHOR__\n"
 #: A log export whose records can't be confused with their content: record, field and message ends are control characters.
 #: ``git log --topo-order --name-only --format='%x1e%H%x1f%P%x1f%an%x1f%at%x1f%B%x1d'``
 RECORD_MARK = "\x1e"
+#: A blame header has a commit of 40 digits and at least two more fields.
+HEADER_CHARS = 44
 
 
 def read_blocks(spark: SparkSession, path: str, mark: str) -> DataFrame:
@@ -137,17 +139,21 @@ def ingest_blame(dump: DataFrame, chunk_rows: int | None = AUTO) -> DataFrame:
     looks like a header counts as one.
     """
     chunk_rows = fit_chunks(dump, "seq", chunk_rows)
-    fields = F.split(text.strip(F.col("text")), r"[\s\x85\xa0]+", 4)
-    is_header = F.coalesce((F.size(fields) >= 3) & fields[0].rlike(r"\A[0-9a-fA-F]{40}\z"), F.lit(False))
-    rows = dump.where("text <> ''").select(
+    # only a line of a header's least length is parted, and once; what is no header, author or code says nothing below
+    long_enough = F.length("text") >= HEADER_CHARS
+    names_author, is_tabbed = F.col("text").startswith("author "), F.col("text").startswith("\t")
+    parted = F.when(long_enough, F.split(text.strip(F.col("text")), r"[\s\x85\xa0]+", 4))
+    rows = dump.where(names_author | is_tabbed | long_enough).select("repo", "path", "seq", "text", parted.alias("_f"))
+    header = F.coalesce((F.size("_f") >= 3) & F.col("_f")[0].rlike(r"\A[0-9a-fA-F]{40}\z"), F.lit(False))
+    rows = rows.select(
         "repo",
         "path",
         "seq",
-        F.when(is_header, fields[0]).alias("commit"),
-        F.when(is_header, F.get(fields, F.lit(2)).try_cast("int")).alias("line_no"),
-        F.when(~is_header & F.col("text").startswith("author "), F.substring("text", 8, 1 << 30)).alias("author"),
-        F.when(~is_header & F.col("text").startswith("\t"), True).alias("is_code"),
-    ).where("commit IS NOT NULL OR author IS NOT NULL OR is_code")
+        F.when(header, F.col("_f")[0]).alias("commit"),
+        F.when(header, F.get("_f", F.lit(2)).try_cast("int")).alias("line_no"),
+        F.when(names_author, F.substring("text", 8, 1 << 30)).alias("author"),
+        F.when(is_tabbed & ~header, True).alias("is_code"),
+    )
     # the running maximum of (seq, value) is the latest value
     at = F.col("seq")
     rows = running(

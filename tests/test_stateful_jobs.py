@@ -1,9 +1,12 @@
 """Stateful jobs: written-out cases, properties of what they find, and equal results for whole files and tiny chunks."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from codequarry.functions import fixed
+from codequarry.functions import fixed, scan
 from codequarry.operators import extract, rules
+from codequarry.plans.queries import QUERIES
+from codequarry.sources import history_text as ht
 from helpers import LINES_SCHEMA, as_rows, balance, random_files, rx
 
 FILES = random_files(260, 90, seed=7)
@@ -50,6 +53,44 @@ def test_written_cases(spark):
         assert sorted(no for p, no, _ in got[rule] if p == f"c{n}/{path}") == want, (n, rule)
 
 
+def exchanges(df):
+    """Shuffles by hash of a plan that doesn't wait for statistics."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_files_are_dealt_by_their_lines(lines, monkeypatch):
+    monkeypatch.setattr(scan, "TASK_ROWS", 100)
+    parts = -(-lines.count() // 100)
+    assert parts > 8
+    assert extract.go_lines(lines).rdd.getNumPartitions() == parts  # 4 before, whatever the number of lines
+    want = sorted(map(repr, extract.extract_description(lines, 13).collect()))
+    assert sorted(map(repr, extract.extract_description(lines).collect())) == want
+
+
+def test_description_shuffles_no_text(lines):
+    rows = extract.go_lines(lines, None, None, {"is_type": F.col("trimmed").startswith("type")})
+    assert "trimmed" not in rows.columns and {"is_type", "consumed"} <= set(rows.columns)
+    assert exchanges(extract.extract_description(lines, None)) == 2  # one for the runs, one (read again) for the comments
+
+
+def test_blame_is_shuffled_once(spark):
+    assert exchanges(QUERIES["ingest_blame"](spark, "/root/testdata/sf0.001")) == 1  # 4 before
+
+
+def test_blame_headers_of_every_length(spark):
+    short, long = "a" * 40, "b" * 40
+    text = [f"{short} 1 1", "author A", "\tx", f"  {long}  7\t2 1", "author B " + "y" * 60, "summary " + "z" * 60, "\t" + "c" * 40 + " 3 9", "\tlast"]
+    dump = spark.createDataFrame([("r", "p", n, t) for n, t in enumerate(text, 1)], "repo string, path string, seq bigint, text string")
+    for chunk in (None, 3):
+        got = {r["line_no"]: r["author"] for r in ht.ingest_blame(dump, chunk).collect()}
+        assert got == {1: "A", 2: "B " + "y" * 60}  # the last header's commit has no author
+
+
 def test_chunks_do_not_change_what_is_found(lines):
     whole, cut = hits(lines, STATEFUL), hits(lines, STATEFUL, 31)
     assert whole == cut and all(whole.values())
