@@ -52,6 +52,44 @@ def test_reachable(spark, dag):
     assert got == ancestors(parents, "x55") | ancestors(parents, "y34")
 
 
+def _exchanges(df):
+    """Each exchange of a plan with the line of what feeds it."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [f"{line} <- {below}" for line, below in zip(plan, plan[1:]) if " Exchange " in line]
+
+
+@pytest.mark.parametrize("block_rows", [7, 65_536])
+def test_rollback_rate_shuffles_numbers(spark, tmp_path, monkeypatch, block_rows):
+    """Hashes are looked up once and messages stay where they are, whatever the blocks; unknown parents, two roots, a repository without a tip."""
+    rows = random_history(5, 70, "x") + random_history(6, 40, "y") + random_history(7, 9, "z")
+    says = ("Revert a", "plain", "roll back", "x\nROLLBACK of b", None)
+    rows = [(*r[:6], says[i % 5], r[7], ["gone"] * (i % 10 == 4) + r[8]) for i, r in enumerate(rows)]
+    spark.createDataFrame(rows, COMMITS).repartition(3).write.parquet(str(tmp_path / "t"))
+    commits = spark.read.parquet(str(tmp_path / "t"))
+    heads = spark.createDataFrame([("x", "main", "x66"), ("y", "develop", "y39"), ("y", "master", "y31"), ("z", "develop", "z8")], "repo string, name string, tip string")
+    by_hash = []
+
+    def settle(df, label, settle=chains.settle):
+        by_hash.extend(label for line in _exchanges(df) if "hash#" in line.split("<-")[0])
+        assert not any("message#" in line for line in _exchanges(df))
+        return settle(df, label)
+
+    monkeypatch.setattr(chains, "settle", settle)
+    monkeypatch.setattr(br, "settle", settle)
+    with store.setting(spark, "spark.sql.autoBroadcastJoinThreshold", -1):
+        main = br.main_numbers(commits, heads, chains.chain_index(commits, block_rows))
+        rate = br.rollback_rate(commits, main)
+        shuffled = _exchanges(main) + _exchanges(rate)
+        got = rate.collect()
+    assert set(by_hash) == {"chain-parents", "tip-numbers"}
+    assert shuffled and not any("hash#" in line or "message#" in line for line in shuffled)
+    parents = {r[2]: [p for p in r[8] if p != "gone"] for r in rows}
+    want = ancestors(parents, "x66") | ancestors(parents, "y31")
+    assert {(r["repo"], r["log_seq"]) for r in main.collect()} == {(r[0], r[7]) for r in rows if r[2] in want}
+    said = sum(r[2] in want and r[6] in (says[0], says[3]) for r in rows)
+    assert [tuple(r) for r in got] == [(said, len(want), round(100 * said / len(want), 1))]
+
+
 @pytest.mark.parametrize("block_rows", [7, 65_536])
 def test_chains_are_paths_of_first_parents(dag, block_rows):
     """A chain is named by its newest commit; along it each commit is the first parent of the one before."""
