@@ -337,3 +337,34 @@ def test_declaration_references(spark):
     left = spark.range(50).selectExpr("'k' AS k", "id AS l")
     cells = grid_join(left, left.withColumnRenamed("l", "r"), ["k"], "l", "r", cell_rows=8)
     assert cells.count() == cells.distinct().count() == 2500
+
+
+def shuffled_rows(df) -> int:
+    """Rows that the exchanges of a plan wrote, after it ran."""
+    df.collect()
+
+    def walk(node) -> int:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        metric = node.metrics().get("shuffleRecordsWritten")
+        children = node.children()
+        return (metric.get().value() if metric.isDefined() else 0) + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_large_keys_are_shuffled_once(spark):
+    """A key of many cells goes to disk once, not once per row or column of its grid; rows of small keys are still there."""
+    n = 1500
+    left = spark.range(n).selectExpr("if(id < 9, 'few', 'k') AS k", "id AS l")
+    right = spark.range(n + 300).selectExpr("if(id < 7, 'few', 'k') AS k", "id AS r", "id % 3 AS x")
+    cells = grid_join(left, right, ["k"], "l", "r", cell_rows=64)
+    assert cells.columns == ["k", "l", "r", "x"]
+    rows = cells.selectExpr("count(*)", "count_if(k = 'few')", "sum(l * 7919 + r)", "sum(x)", "count(DISTINCT l * 10000 + r)")
+    pairs = [("few", a, b) for a in range(9) for b in range(7)] + [("k", a, b) for a in range(9, n) for b in range(7, n + 300)]
+    want = (len(pairs), 63, sum(a * 7919 + b for _, a, b in pairs), sum(b % 3 for _, _, b in pairs), len(pairs))
+    assert tuple(rows.first()) == want
+    assert n <= shuffled_rows(cells.groupBy().count()) < 3 * (2 * n + 300)
