@@ -1,6 +1,7 @@
 """History jobs: text readers, reachability and merge ranges against plain graph walks, author shares."""
 
 import random
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from codequarry.operators import branches as br
 from codequarry.operators import chains
 from codequarry.operators import history
+from codequarry.plans.codebase import Codebase
 from codequarry.sources import files as src
 from codequarry.sources import history_text as ht
 from codequarry.sources import store
@@ -294,3 +296,38 @@ def test_branch_listed_twice(spark):
         df = spark.createDataFrame(given, "repo string, repo_ord int, name string, ts long, place long").coalesce(1)
         assert {tuple(r) for r in br.branch_inventory(df).collect()} == {("a", "/r0", 30, 1), ("b/c", "/r1", 4, 2)}
         assert {r["ts"] for r in br.branch_inventory(df.drop("place")).collect()} == {30, 5}
+
+
+def test_counted_touches(spark):
+    """Touches counted by file and author, with the lines added, give what the touches themselves give, with repeated and null keys."""
+    rng = random.Random(11)
+    commits = [("r", 0, f"h{i % 38}", rng.choice(("ann", "bob", "cy", None)), 10 + i, "s", "m", i, []) for i in range(40)]
+    commits_df = spark.createDataFrame(commits, COMMITS)
+    files = [(rng.choice(("r", None)), f"h{rng.randrange(45)}", rng.choice(("a.go", "b.go", "d/c.go", None)), rng.choice((None, 0, 3, 8))) for _ in range(300)]
+    files_df = spark.createDataFrame(files, "repo string, hash string, path string, added int")
+    counted, touches = history.file_authors(commits_df, files_df), history.file_touches(commits_df, files_df)
+    assert sum(r["n"] for r in counted.collect()) == touches.count() > 100
+    for job in (lambda t: history.top_authors(t, ["repo", "path"]), lambda t: history.churn(t, 2)):
+        got = job(counted)
+        assert got.dtypes == job(touches).dtypes and sorted(map(str, got.collect())) == sorted(map(str, job(touches).collect()))
+    stat = files_df.join(commits_df.select("repo", "hash", "author"), ["repo", "hash"]).select("author", "added")
+    authors = history.author_stats(commits_df)
+    assert sorted(history.author_loc(counted, authors).collect()) == sorted(history.author_loc(stat, authors).collect())
+
+
+def test_marts_are_written_side_by_side(spark, tmp_path):
+    """Marts that wait for each other are written, and what both need is made once."""
+    made, both = [], Barrier(2, timeout=60)
+    base = Codebase(spark, str(tmp_path))
+
+    def shared():
+        made.append(1)
+        return spark.range(5)
+
+    def mart(least):
+        both.wait()
+        return base.stage("shared", shared).where(f"id >= {least}")
+
+    paths = store.write_marts({"low": lambda: mart(0), "high": lambda: mart(3), "plain": spark.range(2)}, str(tmp_path), "2024-01-01")
+    assert list(paths) == ["low", "high", "plain"] and made == [1]
+    assert [spark.read.parquet(p).where("run_date = '2024-01-01'").count() for p in paths.values()] == [5, 2, 2]
