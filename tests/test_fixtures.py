@@ -368,3 +368,17 @@ def test_large_keys_are_shuffled_once(spark):
     want = (len(pairs), 63, sum(a * 7919 + b for _, a, b in pairs), sum(b % 3 for _, _, b in pairs), len(pairs))
     assert tuple(rows.first()) == want
     assert n <= shuffled_rows(cells.groupBy().count()) < 3 * (2 * n + 300)
+
+
+def test_words_sorted_out_before_the_shuffle(spark, monkeypatch):
+    """Words that begin like none of those sought don't go to disk; none that is sought is lost, whatever the beginnings."""
+    rows = [(f"f{i % 5}", i, f"Abc{i} éàüx Zed ab{i} other{i} _q") for i in range(40)]
+    lines = spark.createDataFrame(rows, "id string, line_no int, text string")
+    sought = spark.createDataFrame([("Abc7",), ("éàüx",), ("Zed",), ("ab",), ("gone",)], "word string")
+    want = {tuple(r) for r in graph.file_words(lines, 2).join(sought, "word", "left_semi").select("id", "word").collect()}
+    few = graph.file_words(lines, 2, sought)
+    assert {tuple(r) for r in few.join(sought, "word", "left_semi").select("id", "word").collect()} == want and len(want) >= 6
+    assert 2 * shuffled_rows(few) < shuffled_rows(graph.file_words(lines, 2))
+    assert graph.file_words(lines, 2, sought.limit(0)).count() == 0
+    monkeypatch.setattr(graph, "BEGINNINGS", 2)
+    assert graph.file_words(lines, 2, sought).count() == graph.file_words(lines, 2).count()
